@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import substring_dedup
+from . import bitpack_ids, mixing_pareto, packing_kk, substring_dedup
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op6_packing": packing_kk.query,
+        "op8_mixing": mixing_pareto.query,
+        "op9_token_files": bitpack_ids.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_mixing": mixing_pareto.ORACLE,
+    }
