@@ -5,11 +5,10 @@
    once, with the document that holds it first, to the bucket of the hash. A bucket finds the hashes
    that several blocks sent and tells each of these blocks whether it owns the first occurrence
    (smallest ``doc_id``).
-2. *Compile.* Each block turns its recurring windows into Aho-Corasick automata, in shards of at
-   most ``SHARD_PATTERNS`` patterns. The letters are exact 4-word grams, so that a 20-word pattern is
-   a path of five nodes; the block's text is read once for each of the four phases.
-3. *Stream.* All documents of the block run through all its shards, which locate every occurrence.
-   An occurrence other than the first one marks its words.
+2. *Compile.* In each block, the maximal runs of recurring windows are the confirmed passages. They
+   are compiled into Aho-Corasick automata, in shards of at most ``SHARD_CHARS`` characters.
+3. *Stream.* All documents of the block run through all its shards, which locate every occurrence
+   of every passage. An occurrence of a window other than the first one marks its words.
 
 Every key costs one row per block at most, so a passage that a third of all documents share is no
 hot spot. Memory is bounded by the block, the bucket and the automaton shard.
@@ -23,7 +22,6 @@ not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW = 20
-GRAM = 4
-SHARD_PATTERNS = 60_000
+#: Characters of passages in one automaton (about 60 bytes of memory each).
+SHARD_CHARS = 1_500_000
 
 MESSAGE = "bucket long, block long, n long, doc_ids binary, hashes binary, docs binary"
 REPLY = "block long, bucket long, codes binary"
@@ -138,64 +137,79 @@ def resolve(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int64()), "codes": pa.array([x[2] for x in out], pa.binary())})
 
 
-def occurrences(w: Words, patterns: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every place where a pattern stands, found by automata.
+def occurrences(w: Words, recurring: np.ndarray, window: int) -> np.ndarray:
+    """Mask of the window starts at which a confirmed passage stands, found by automata.
 
-    ``patterns`` are starts of windows in the block. Returns the places and the pattern's number.
+    ``recurring`` masks the starts whose window recurs. A document's maximal runs of them are the
+    passages; every document of the block is streamed through the automata of all of them.
     """
-    gram = GRAM if window % GRAM == 0 else 1
-    n = len(w.ids)
-    letters = w.ids.copy()
-    for step in range(1, gram):
-        width = n - step
-        pair = letters[:width] * (w.ids.max() + 1) + w.ids[step:]
-        letters = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    crossing = w.doc[: len(letters)] != w.doc[gram - 1 : gram - 1 + len(letters)]
-    letters = np.where(crossing, 0, letters + 1)
-    streams = [(p, tuple(letters[p::gram].tolist())) for p in range(gram)]
-    steps = window // gram
-    places, numbers = [], []
-    for low in range(0, len(patterns), SHARD_PATTERNS):
-        part = patterns[low : low + SHARD_PATTERNS]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        keys = zip(*(letters[part + gram * j].tolist() for j in range(steps)))
-        for number, key in enumerate(keys, low):
-            automaton.add_word(key, number)
+    found = np.zeros(len(w.ids) + 1, np.int32)
+    starts = np.flatnonzero(recurring)
+    if not len(starts):
+        return found[:-1] > 0
+    breaks = np.flatnonzero((np.diff(starts) > 1) | (np.diff(w.doc[starts]) > 0))
+    first, last = starts[np.concatenate([[0], breaks + 1])], starts[np.concatenate([breaks, [len(starts) - 1]])]
+    passages: dict[bytes, int] = {}
+    for a, b, d in zip(first.tolist(), last.tolist(), w.doc[first].tolist()):
+        base = int(w.starts[d])
+        passages.setdefault(b" %b " % b" ".join(w.words[d][a - base : b - base + window]), b - a + window)
+    stream = b"\n".join(b" %b " % b" ".join(ws) for ws in w.words).decode("latin-1")
+    # The space after each word: a document takes a leading space, its words with a space each, and a line end.
+    lengths = np.fromiter((len(x) + 1 for ws in w.words for x in ws), np.int64, len(w.ids))
+    ends = np.cumsum(lengths)
+    chars = np.concatenate([[0], ends])[w.starts]
+    heads = np.concatenate([[0], np.cumsum(np.where(w.sizes > 0, np.diff(chars) + 2, 3))])
+    after = ends - chars[w.doc] + heads[w.doc]
+
+    def stream_through(part: list[bytes]) -> None:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for text in part:
+            automaton.add_word(text.decode("latin-1"), passages[text])
         automaton.make_automaton()
-        for phase, stream in streams:
-            found = np.fromiter((x for hit in automaton.iter(stream) for x in hit), np.int64).reshape(-1, 2)
-            places.append(phase + gram * (found[:, 0] - steps + 1))
-            numbers.append(found[:, 1])
-    return (np.concatenate(places), np.concatenate(numbers)) if places else (np.zeros(0, np.int64),) * 2
+        hits = np.fromiter((x for hit in automaton.iter(stream) for x in hit), np.int64).reshape(-1, 2)
+        word = np.searchsorted(after, hits[:, 0])
+        np.add.at(found, word - hits[:, 1] + 1, 1)
+        np.add.at(found, word - window + 2, -1)
+
+    part, size = [], 0
+    for text in passages:
+        if part and size + len(text) > SHARD_CHARS:
+            stream_through(part)
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    stream_through(part)
+    return np.cumsum(found)[:-1] > 0
 
 
 def removed_words(w: Words, replies: list[tuple[int, bytes]], n_buckets: int, window: int) -> np.ndarray:
     """Mask of the block's words that a later occurrence covers."""
-    gone = np.zeros(len(w.ids) + 1, np.int32)
-    values, first, counts = w.distinct()
+    values, rank, counts = np.unique(w.hash, return_inverse=True, return_counts=True)
     codes = np.zeros(len(values), np.uint8)
     bucket = C.bucket_of(values, n_buckets)
     for b, data in replies:
         a = np.searchsorted(bucket, np.uint64(b))
         got = np.frombuffer(C.unsqueeze(data), np.uint8)
         codes[a : a + len(got)] = got
-    recurring = (codes != 0) | (counts > 1)
-    patterns = w.at[first[recurring]]
-    places, numbers = occurrences(w, patterns, window)
-    own = codes[recurring] != LATER
-    places = places[~(own[numbers] & (places == patterns[numbers]))]
-    np.add.at(gone, places, 1)
-    np.add.at(gone, places + window, -1)
+    recurring = np.zeros(len(w.ids), bool)
+    recurring[w.at] = ((codes != 0) | (counts > 1))[rank]
+    first = np.full(len(values), len(w.ids), np.int64)
+    np.minimum.at(first, rank, w.at)
+    places = occurrences(w, recurring, window)
+    places[first[codes != LATER]] = False  # the first occurrence of all stays
+    gone = np.zeros(len(w.ids) + 1, np.int32)
+    at = np.flatnonzero(places)
+    np.add.at(gone, at, 1)
+    np.add.at(gone, at + window, -1)
     return np.cumsum(gone)[:-1] > 0
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_removed, kept_sha256, kept`` (the words left, joined by a space)."""
-    blocks = C.pack_blocks(docs, block_bytes, name="op1-blocks")
+    """Per document: ``doc_id, n_words, n_removed, kept`` (the words left, joined by a space)."""
+    blocks = C.pack_blocks(docs, block_bytes, name="substring-blocks")
     n_buckets = max(1, blocks.count())
     messages = blocks.mapInArrow(lambda it: announce(it, n_buckets, window), MESSAGE)
     replies = messages.groupBy("bucket").applyInArrow(resolve, REPLY)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -205,14 +219,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, block_bytes: int = C
             gone = removed_words(w, got, n_buckets, window)
             for k, ws in enumerate(w.words):
                 mask = gone[w.starts[k] : w.starts[k + 1]]
-                kept = b" ".join([x for x, m in zip(ws, mask.tolist()) if not m]) if mask.any() else b" ".join(ws)
-                rows.append((block.doc_ids[k], len(ws), int(mask.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-        cols = list(zip(*rows)) if rows else [()] * 5
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_words", "n_removed", "kept_sha256", "kept"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.large_string() if False else pa.string()))})
+                kept = [x for x, m in zip(ws, mask.tolist()) if not m] if mask.any() else ws
+                rows.append((block.doc_ids[k], len(ws), int(mask.sum()), b" ".join(kept).decode()))
+        kinds = (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()))
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: every whole text of ``documents``, windows of 20 words."""
-    return dedup_substrings(C.table(spark, sf_dir, "documents")).drop("kept")
+    out = dedup_substrings(C.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
