@@ -27,7 +27,16 @@ BLOCK_DOCS = 60_000
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<long>, body binary"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine's paths import the library; a cluster gets it with ``--py-files``."""
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +52,7 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back."""
     spark = df.sparkSession
+    importable(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,10 +80,6 @@ def unsqueeze_planes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(d.itemsize, -1).T).view(d).reshape(-1)
 
 
-def doc_key(ids: np.ndarray, null: np.ndarray | None = None) -> np.ndarray:
-    return ids
-
-
 def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> DataFrame:
     """Write ``docs`` as a table of blocks, without a shuffle, and read it back.
 
@@ -148,7 +154,3 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
-
-
-def count_rows(df: DataFrame) -> int:
-    return df.count()

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bitpack_ids, mixing_pareto, packing_kk, substring_dedup
+from . import bitpack_ids, mixing_pareto, packing_kk, quality_rules, simhash_trie, substring_dedup
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op3_quality_rules": quality_rules.query,
+        "op4_simhash": simhash_trie.query,
         "op6_packing": packing_kk.query,
         "op8_mixing": mixing_pareto.query,
         "op9_token_files": bitpack_ids.query,
@@ -18,5 +20,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_quality_rules": quality_rules.ORACLE,
         "op8_mixing": mixing_pareto.ORACLE,
     }
