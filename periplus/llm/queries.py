@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bitpack_ids, mixing_pareto, packing_kk, quality_rules, simhash_trie, substring_dedup
+from . import bitpack_ids, license_scan, mixing_pareto, packing_kk, quality_rules, simhash_trie, substring_dedup
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op6_packing": packing_kk.query,
         "op8_mixing": mixing_pareto.query,
         "op9_token_files": bitpack_ids.query,
+        "op10_license_scan": license_scan.query,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE,
         "op8_mixing": mixing_pareto.ORACLE,
+        "op10_license_scan": license_scan.oracle(),
     }
