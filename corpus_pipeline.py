@@ -1,4 +1,68 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before it kept, and returns a
+DataFrame that is written as Parquet and read again as the next one's ``docs``. All but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from periplus.llm import common as C
+from periplus.llm import line_templates, mixing_pareto, packing_kk, quality_rules, simhash_trie
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and their host's verdict keep; the others go."""
+    verdict = quality_rules.judge(docs).where("kept").select("doc_id").distinct()
+    return docs.join(verdict, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents are dropped; ``n_chars`` follows the text."""
+    out = line_templates.drop_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    first = simhash_trie.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    sizes = C.written(docs.select("doc_id", "source", mixing_pareto.word_count(F.col("text")).alias("size")), "mix-sizes")
+    copies = mixing_pareto.allocate(sizes).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    out = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 ids."""
+    out = packing_kk.pack(docs)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near_duplicates), ("mixing", mixing), ("packing", packing)]
+
+#: Templates, fingerprints and packing are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
+    docs = C.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{C.work_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Uncompressed bytes of text in a block (one longer document makes a block of its own).
 BLOCK_BYTES = 6 << 20
 #: Documents in a block, so that a document's place in it fits 16 bits.
 BLOCK_DOCS = 60_000
 
-BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<long>, body binary"
+BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<long>, body binary, carry array<string>"
 
 
 def importable(spark: SparkSession) -> None:
@@ -80,11 +81,12 @@ def unsqueeze_planes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(d.itemsize, -1).T).view(d).reshape(-1)
 
 
-def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> DataFrame:
+def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", carry: bool = False) -> DataFrame:
     """Write ``docs`` as a table of blocks, without a shuffle, and read it back.
 
     Null ids stay null and sort first; null texts have size -1. The written table fixes the block
-    numbers, so later stages agree on them whatever is recomputed.
+    numbers, so later stages agree on them whatever is recomputed. With ``carry``, the other columns
+    travel along as JSON.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +103,9 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "
                     pa.array([[x[0] for x in held]], pa.list_(pa.int64())),
                     pa.array([[-1 if x[1] is None else len(x[1]) for x in held]], pa.list_(pa.int64())),
                     pa.array([squeeze(b"".join(x[1] or b"" for x in held))], pa.binary()),
+                    pa.array([[x[2] for x in held]], pa.list_(pa.string())),
                 ],
-                names=["block", "doc_ids", "sizes", "body"],
+                names=["block", "doc_ids", "sizes", "body", "carry"],
             )
             held, size, seq = [], 0, seq + 1
             return row
@@ -110,24 +113,33 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "
         for b in batches:
             ids = b.column(0).to_pylist()
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            for i, t in zip(ids, texts):
+            others = b.column(2).to_pylist()
+            for i, t, other in zip(ids, texts, others):
                 n = len(t) if t is not None else 0
                 if held and (size + n > block_bytes or len(held) >= BLOCK_DOCS):
                     yield flush()
-                held.append((i, t))
+                held.append((i, t, other))
                 size += n
         if held:
             yield flush()
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.to_json(F.struct(*others(docs, id_col, text_col))) if carry and others(docs, id_col, text_col) else F.lit(None).cast("string")).alias("carry"))
     return written(src.mapInArrow(pack, BLOCK_SCHEMA), name)
 
 
+def others(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    return [c for c in docs.columns if c not in (id_col, text_col)]
+
+
+def struct_of(docs: DataFrame, names: list[str]) -> T.StructType:
+    return T.StructType([docs.schema[c] for c in names])
+
+
 class Block:
     """A block's documents: ids (list, None for null), and texts as bytes (None for null)."""
 
-    def __init__(self, block: int, doc_ids: list, sizes: list, body: bytes):
-        self.block, self.doc_ids = block, doc_ids
+    def __init__(self, block: int, doc_ids: list, sizes: list, body: bytes, carry: list):
+        self.block, self.doc_ids, self.carry = block, doc_ids, carry
         raw, at, self.texts = unsqueeze(body), 0, []
         for n in sizes:
             self.texts.append(None if n < 0 else raw[at : at + n])
@@ -137,7 +149,7 @@ class Block:
 
 
 def blocks_of(batch: pa.RecordBatch | pa.Table) -> Iterator[Block]:
-    cols = [batch.column(k) for k in ("block", "doc_ids", "sizes", "body")]
+    cols = [batch.column(k) for k in ("block", "doc_ids", "sizes", "body", "carry")]
     for k in range(batch.num_rows):
         yield Block(*(c[k].as_py() for c in cols))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bitpack_ids, license_scan, mixing_pareto, packing_kk, quality_rules, simhash_trie, substring_dedup
+import corpus_pipeline
+
+from . import ann_forest, bitpack_ids, license_scan, line_templates, mixing_pareto, packing_kk, quality_rules, simhash_trie, substring_dedup
 
 
 def queries() -> dict[str, Callable]:
@@ -12,10 +14,13 @@ def queries() -> dict[str, Callable]:
         "op1_substring_dedup": substring_dedup.query,
         "op3_quality_rules": quality_rules.query,
         "op4_simhash": simhash_trie.query,
+        "op5_ann_forest": ann_forest.query,
         "op6_packing": packing_kk.query,
+        "op7_line_dedup": line_templates.query,
         "op8_mixing": mixing_pareto.query,
         "op9_token_files": bitpack_ids.query,
         "op10_license_scan": license_scan.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
