@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import ann_forest, bitpack_ids, license_scan, line_templates, mixing_pareto, packing_kk, quality_rules, simhash_trie, substring_dedup
+from . import ann_forest, bitpack_ids, license_scan, line_templates, mixing_pareto, packing_kk, quality_rules, simhash_trie, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op2_suffix_dedup": suffix_dedup.query,
         "op3_quality_rules": quality_rules.query,
         "op4_simhash": simhash_trie.query,
         "op5_ann_forest": ann_forest.query,
