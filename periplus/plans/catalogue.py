@@ -146,7 +146,7 @@ def lagrange3(spark, sf):
     for name, f in (("1", F.lag), ("3", F.lead)):
         rows = rows.withColumn(f"lon{name}", f("lon").over(order)).withColumn(f"lat{name}", f("lat").over(order))
     mid = (F.col("lon") + F.col("lon3")) / 2
-    return rows.select("row_id", _r(geo.lagrange3("lon1", "lat1", "lon", "lat", "lon3", "lat3", mid)).alias("lat_mid")).where(F.col("lat_mid").isNotNull())
+    return rows.select("row_id", geo.lagrange3("lon1", "lat1", "lon", "lat", "lon3", "lat3", mid).alias("lat_mid")).where(F.col("lat_mid").isNotNull())
 
 
 # -- joins ---------------------------------------------------------------------------------------
@@ -208,7 +208,7 @@ def voyages_stream(spark, sf):
 
 def interpolate(spark, sf):
     new = interpolation.interpolated(_voyages(spark, sf), fixture.ports(spark), STEP)
-    return new.select("voyage_id", "seconds", "k", _r("lon", 9).alias("lon"), _r("lat", 9).alias("lat"), _r("knots", 4).alias("knots"), _r("bearing", 4).alias("bearing"))
+    return new.select("voyage_id", "seconds", "k", "lon", "lat", _r("knots", 4).alias("knots"), _r("bearing", 4).alias("bearing"))
 
 
 def interpolate_fill(spark, sf):

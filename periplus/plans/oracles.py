@@ -159,7 +159,7 @@ limited AS (SELECT c.*, d, s, h FROM cells c JOIN limits USING (itinerary, cell_
         "euclidean": lagged + f"SELECT row_id, round(sqrt({' + '.join(diff)}), 6) + 0.0 AS chord_km, round(sqrt({' + '.join(diff[:2])}) / 1000, 6) + 0.0 AS planar FROM lagged",
         "bearing": lagged + f"SELECT row_id, round({bearing('p_lon', 'p_lat', 'lon', 'lat')}, 6) + 0.0 AS degrees, round({bearing('p_lon', 'p_lat', 'lon', 'lat', False)}, 6) + 0.0 AS unsigned FROM lagged",
         "implied_speed": lagged + f"SELECT row_id, round({steps} * 3600.0 / nullif(seconds - p_seconds, 0) / 1.852, 6) + 0.0 AS knots FROM lagged",
-        "lagrange3": _with(AIS, f"f AS (SELECT row_id, lag(lon) OVER o AS lon1, lag(lat) OVER o AS lat1, lon, lat, lead(lon) OVER o AS lon3, lead(lat) OVER o AS lat3 FROM ais WINDOW o AS ({TRACK}))") + f"SELECT row_id, round({lagrange('((lon + lon3) / 2)')}, 6) + 0.0 AS lat_mid FROM f WHERE lon1 <> lon AND lon <> lon3 AND lon1 <> lon3",
+        "lagrange3": _with(AIS, f"f AS (SELECT row_id, lag(lon) OVER o AS lon1, lag(lat) OVER o AS lat1, lon, lat, lead(lon) OVER o AS lon3, lead(lat) OVER o AS lat3 FROM ais WINDOW o AS ({TRACK}))") + f"SELECT row_id, {lagrange('((lon + lon3) / 2)')} AS lat_mid FROM f WHERE lon1 <> lon AND lon <> lon3 AND lon1 <> lon3",
         "pip_waypoint_lookup": port + "SELECT row_id, port FROM port_of",
         "pip_semi": port + "SELECT row_id, mmsi FROM port_of WHERE port IS NOT NULL",
         "pip_anti": port + "SELECT row_id, mmsi FROM port_of WHERE port IS NULL",
@@ -168,7 +168,7 @@ limited AS (SELECT c.*, d, s, h FROM cells c JOIN limits USING (itinerary, cell_
         "voyage_segments": voy + "SELECT row_id, mmsi, voyage_id, itinerary, seconds, lon, lat FROM voyages",
         "voyages_stream": voy + "SELECT row_id, mmsi, voyage_id, itinerary, seconds, lon, lat FROM voyages",
         "voyage_summary": voy + "SELECT voyage_id, itinerary, count(*) AS positions, min(seconds) AS start_s, max(seconds) AS end_s FROM voyages GROUP BY voyage_id, itinerary",
-        "interpolate": filled + f"SELECT voyage_id, seconds, k, round(lon_k, 9) + 0.0 AS lon, round(lat_k, 9) + 0.0 AS lat, round({km('lon_p', 'lat_p', 'lon_k', 'lat_k')} * 3600.0 / 3600.0 / 1.852, 4) + 0.0 AS knots, round({bearing('lon_p', 'lat_p', 'lon_k', 'lat_k')}, 4) + 0.0 AS bearing FROM new",
+        "interpolate": filled + f"SELECT voyage_id, seconds, k, lon_k AS lon, lat_k AS lat, round({km('lon_p', 'lat_p', 'lon_k', 'lat_k')} * 3600.0 / 3600.0 / 1.852, 4) + 0.0 AS knots, round({bearing('lon_p', 'lat_p', 'lon_k', 'lat_k')}, 4) + 0.0 AS bearing FROM new",
         "interpolate_fill": filled + "SELECT v.voyage_id, v.c + coalesce(m.c, 0) AS positions, coalesce(m.c, 0) AS interpolated FROM (SELECT voyage_id, count(*) AS c FROM voyages GROUP BY voyage_id) v LEFT JOIN (SELECT voyage_id, count(*) AS c FROM new GROUP BY voyage_id) m USING (voyage_id)",
         "cell_stats": more(CELLS) + f"SELECT itinerary || '-' || cell_id AS key, itinerary, cell_id, {spread('cog', 'heading')}, {spread('speed', 'speed')} FROM cells GROUP BY itinerary, cell_id",
         "step_distance_stats": more(CELLS, STEPS) + "SELECT itinerary, cell_id, round(coalesce(avg(d), 0), 6) + 0.0 AS mean_km, round(coalesce(stddev_pop(d), 0), 6) + 0.0 AS std_km FROM steps GROUP BY itinerary, cell_id",
