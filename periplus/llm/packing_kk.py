@@ -30,7 +30,7 @@ CAPACITY = 1024
 #: Longest part of a rest: short enough that windows of several parts balance.
 PART = 192
 #: Windows in a batch.
-BATCH = 128
+BATCH = 64
 END_ID = 0
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -15,8 +15,17 @@ import numpy as np
 #: Units that a worker keeps at most; past it the cache starts anew.
 CACHE_UNITS = 800_000
 
-_UNSAFE = re.compile(r" \s|\s ")
+#: White space that is not ASCII's common four, by Unicode (fixed values).
+_RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Units that are encoded as one text.
+_TOGETHER = 400
+
+
+def _plain(text: str) -> bool:
+    """Whether every space stands between two characters that are no white space, or at an end."""
+    return not any(x in text for x in _PAIRS) and (text.isascii() and text.isprintable() or not any(c in text for c in _RARE))
 
 
 def default_path() -> str:
@@ -35,24 +44,49 @@ class UnitEncoder:
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         self.units: dict[str, bytes] = {}
+        #: Whether a token begins with a space (written as this letter in the vocabulary).
+        self.spaced = np.zeros(max(self.tok.get_vocab(with_added_tokens=True).values(), default=0) + 1, bool)
+        for token, number in self.tok.get_vocab(with_added_tokens=True).items():
+            self.spaced[number] = token.startswith("\u0120")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Encode units, with the space before each.
+
+        Units without white space at their ends or spaces inside are encoded many to a text; there, the tokens
+        that begin with a space are the first ones of units.
+        """
+        whole = [u for u in new if " " not in u and u == u.strip() and u]
+        rest = [u for u in new if not (" " not in u and u == u.strip() and u)]
+        groups = [whole[k : k + _TOGETHER] for k in range(0, len(whole), _TOGETHER)]
+        for low in range(0, len(groups), 64):
+            part = groups[low : low + 64]
+            found = self.tok.encode_batch_fast([" " + " ".join(g) for g in part], add_special_tokens=False)
+            for g, e in zip(part, found):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(self.spaced[ids])
+                if len(cuts) != len(g):
+                    rest += g
+                    continue
+                data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                self.units.update(zip(g, [data[a:b] for a, b in zip((4 * cuts).tolist(), ends)]))
+        if rest:
+            self.units.update(zip(rest, self._raw([" " + u for u in rest])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        parts = [_CUT.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
+        parts = [t.split(" ") if _plain(t) else _CUT.split(t) for t in texts]
         if len(self.units) > CACHE_UNITS:
             self.units.clear()
-        new = {p for ps in parts for p in ps[1:]}.difference(self.units)
-        if new:
-            todo = sorted(new)
-            for low in range(0, len(todo), 20_000):
-                some = todo[low : low + 20_000]
-                self.units.update(zip(some, self._raw([" " + p for p in some])))
         heads = self._raw([ps[0] for ps in parts])
+        parts = [ps[1:] for ps in parts]
+        new = set().union(*parts).difference(self.units)
+        if new:
+            self._learn(new)
         get = self.units.__getitem__
-        return [h + b"".join(map(get, ps[1:])) for h, ps in zip(heads, parts)]
+        return [h + b"".join([get(p) for p in ps]) for h, ps in zip(heads, parts)]
 
 
 _encoders: dict[str, UnitEncoder] = {}
