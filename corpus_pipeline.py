@@ -18,29 +18,41 @@ from periplus.llm import line_templates, mixing_pareto, packing_kk, quality_rule
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``docs`` joined with a table of distinct ids; a null id is an id like any other."""
+    ids = ids.withColumnRenamed("doc_id", "_id")
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and their host's verdict keep; the others go."""
-    verdict = quality_rules.judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the base rules and their host's verdict keep; the others go.
+
+    Of rows that share an id, all stay if one is kept.
+    """
+    return _with_ids(docs, quality_rules.judge(docs).where("kept").select("doc_id").distinct())
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents are dropped; ``n_chars`` follows the text."""
-    out = line_templates.drop_lines(docs)
+    out = line_templates.drop_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    first = simhash_trie.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates stays: the one with the smallest id, once if its row is repeated.
+
+    Documents without an id stay only where no member of their group has one.
+    """
+    groups = simhash_trie.near_duplicates(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return _with_ids(docs, first).dropDuplicates(["doc_id", "text"])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; rows that share an id are taken alike."""
     sizes = C.written(docs.select("doc_id", "source", mixing_pareto.word_count(F.col("text")).alias("size")), "mix-sizes")
     copies = mixing_pareto.allocate(sizes).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    out = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = _with_ids(docs, copies, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*COLUMNS)
 
 
