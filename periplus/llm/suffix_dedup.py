@@ -115,7 +115,7 @@ class Contexts:
             first[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
             low.append(np.flatnonzero(first) + s)
             anchors.append(at[first] + s)
-            hashes.append(g[at[first]])
+            hashes.append(C.mix64(g[at[first]]))  # smallest hashes crowd the low range: spread them anew
             inside_low = np.flatnonzero(inside & ~np.concatenate([inside[1:] & (at[1:] == at[:-1]), [False]])) + s
             self._highs = getattr(self, "_highs", []) + [inside_low]
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
