@@ -25,11 +25,8 @@ def _with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFr
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and their host's verdict keep; the others go.
-
-    Of rows that share an id, all stay if one is kept.
-    """
-    return _with_ids(docs, quality_rules.judge(docs).where("kept").select("doc_id").distinct())
+    """Documents that the base rules and their host's verdict keep; the others go."""
+    return quality_rules.keep(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,26 @@ def judge(docs: DataFrame, limit: float = LIMIT, host: str = "source") -> DataFr
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("bad_host")
 
 
+def keep(docs: DataFrame, limit: float = LIMIT, host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, without moving their texts.
+
+    The base rules are applied where a row is read; the host table of the first pass is written, so that
+    its exact size decides how rejected hosts are joined.
+    """
+    rows = C.written(measured(docs, host), "quality")
+    bad = C.written(verdicts(rows, limit).where("rejected").select(F.col("host").alias("_bad_host")), "rejected-hosts")
+
+    @F.pandas_udf("boolean")
+    def passes(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            n, _, _, _, _, repeated = counts(t.encode()) if t else (0,) * 6
+            out.append(n >= 50 and 100 * repeated <= 50 * n)
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(passes(F.col("text"))).join(bad, F.col(host) == F.col("_bad_host"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: every whole text of ``documents``."""
     return judge(C.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
