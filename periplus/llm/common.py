@@ -9,7 +9,6 @@ and the answers are cogrouped with the blocks.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from periplus.operators.materialize import importable, work_dir
+
 #: Uncompressed bytes of text in a block (one longer document makes a block of its own).
 BLOCK_BYTES = 6 << 20
 #: Documents in a block, so that a document's place in it fits 16 bits.
@@ -28,28 +29,11 @@ BLOCK_DOCS = 60_000
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<long>, body binary, carry array<string>"
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine's paths import the library; a cluster gets it with ``--py-files``."""
-    env = spark.sparkContext.environment
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"/tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back."""
     spark = df.sparkSession

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from periplus.operators.clustering import components
+
 from . import common as C
 
 SHINGLE = 4
@@ -201,28 +203,6 @@ def links(classes: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS,
     return rows.groupBy("block", "prefix", "s1", "s2").applyInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node of each component, for all nodes with an edge.
-
-    Large-star and small-star rounds: every neighbour of a node moves to the smallest one it knows.
-    Each round is written to the shared folder; only a count and a checksum reach the driver.
-    """
-    edges = C.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = C.written(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
-
-
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
     """Per document: ``doc_id, fp`` (signed) and ``component_id``, the smallest ``doc_id`` of its component."""
     prints = C.written(fingerprints(docs, size), "fingerprints")
