@@ -56,7 +56,6 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     free = F.col("w") * F.col("left_words") <= F.col("cap") * F.col("left_w")
     rank = F.row_number().over(fill)
     per = per.withColumn("rank", rank).withColumn("free_rank", F.when(free, F.col("rank")))
-    first = F.min(F.struct("free_rank", "left_words", "left_w")).over(every)
     per = per.withColumn("first_free", F.min("free_rank").over(every))
     per = per.withColumn("level_words", F.max(F.when(F.col("rank") == F.col("first_free"), F.col("left_words"))).over(every)).withColumn("level_w", F.max(F.when(F.col("rank") == F.col("first_free"), F.col("left_w"))).over(every))
     target = F.when(F.col("first_free").isNull() | (F.col("rank") < F.col("first_free")), F.col("cap").cast("double")).otherwise((F.col("w") * F.col("level_words")).cast("double") / F.col("level_w").cast("double"))

@@ -96,7 +96,7 @@ class Contexts:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         a = np.frombuffer(self.raw, np.uint8)
         n = len(a)
-        low, anchors, hashes = [], [], []
+        low, high, hashes = [], [], []
         ends = np.repeat(self.starts[1:], self.sizes)
         for s in range(0, max(n - length + 1, 0), SEGMENT):
             e = min(s + SEGMENT, n - length + 1)
@@ -114,13 +114,12 @@ class Contexts:
             first = inside.copy()
             first[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
             low.append(np.flatnonzero(first) + s)
-            anchors.append(at[first] + s)
             hashes.append(C.mix64(g[at[first]]))  # smallest hashes crowd the low range: spread them anew
-            inside_low = np.flatnonzero(inside & ~np.concatenate([inside[1:] & (at[1:] == at[:-1]), [False]])) + s
-            self._highs = getattr(self, "_highs", []) + [inside_low]
+            goes_on = np.concatenate([inside[1:] & (at[1:] == at[:-1]), [False]])
+            high.append(np.flatnonzero(inside & ~goes_on) + s)
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.low, self.hash = cat(low, np.int64), cat(hashes, np.uint64)
-        self.high = cat(getattr(self, "_highs", []), np.int64)
+        #: First and last string start of each run, and the hash of its anchor.
+        self.low, self.high, self.hash = cat(low, np.int64), cat(high, np.int64), cat(hashes, np.uint64)
         self.length = length
         self.doc = np.searchsorted(self.starts, self.low, "right") - 1
 
