@@ -23,16 +23,14 @@ def format_wkt(ring: Column, quoted: bool = False) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"')) if quoted else text
 
 
-def edges(ring: Column) -> Column:
-    """Edges as ``struct<a, b>``, the one from the last point to the first included."""
-    before = F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
-    return F.arrays_zip(before.alias("a"), ring.alias("b"))
+def _shifted(ring: Column) -> Column:
+    """For each point the one before it, the last one before the first."""
+    return F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
 
 
 def contains(ring: Column, lon: Column, lat: Column) -> Column:
     """Even-odd rule, half open in latitude: an edge counts from its lower end up to its upper one."""
-    i = F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
-    pairs = F.zip_with(i, ring, lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")))
+    pairs = F.zip_with(_shifted(ring), ring, lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")))
 
     def crossed(e: Column) -> Column:
         between = ((e["y1"] <= lat) & (lat < e["y2"])) | ((e["y2"] <= lat) & (lat < e["y1"]))
@@ -44,8 +42,7 @@ def contains(ring: Column, lon: Column, lat: Column) -> Column:
 
 def area(ring: Column) -> Column:
     """Area in square degrees (shoelace)."""
-    i = F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
-    terms = F.zip_with(i, ring, lambda a, b: a["lon"] * b["lat"] - a["lat"] * b["lon"])
+    terms = F.zip_with(_shifted(ring), ring, lambda a, b: a["lon"] * b["lat"] - a["lat"] * b["lon"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)) / 2
 
 

@@ -18,7 +18,7 @@ VOYAGE_RAW = T.StructType([T.StructField("VOYAGE_ID", _S), T.StructField("ITINER
 
 def epoch_seconds(column: Column) -> Column:
     """Seconds since 1970 of a wall-clock time, as UTC whatever the session's zone is."""
-    return F.expr("1").cast("bigint") * F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
 
 
 def positions(raw: DataFrame, rounded: bool = False) -> DataFrame:
