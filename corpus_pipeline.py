@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periplus.llm import common as C
-from periplus.llm import line_templates, mixing_pareto, packing_kk, quality_rules, simhash_trie
+from periplus.llm import jaccard_groups, line_templates, mixing_pareto, packing_kk, quality_rules
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,11 +38,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id, once if its row is repeated.
 
-    Documents without an id stay only where no member of their group has one.
+    Groups are linked by Jaccard similarities of 0.8 or more of five-word shingles. Documents without an
+    id stay only where no member of their group has one.
     """
-    groups = simhash_trie.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return _with_ids(docs, first).dropDuplicates(["doc_id", "text"])
+    groups = jaccard_groups.near_duplicates(docs)
+    at = [F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_none")]
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*at).distinct()
+    # By columns of their own, so that texts are dealt once for both steps.
+    return docs.select(*COLUMNS, *at).join(first, ["_i", "_none"], "left_semi").dropDuplicates(["_i", "_none", "text"]).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
