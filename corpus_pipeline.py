@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents are dropped; ``n_chars`` follows the text."""
-    out = line_templates.drop_lines(docs.select(*COLUMNS))
+    out = line_templates.drop_lines(docs.select(*COLUMNS), min_docs=line_templates.CORPUS_MIN_DOCS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

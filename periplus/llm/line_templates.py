@@ -35,6 +35,8 @@ from . import common as C
 DEPTH = 2
 SIMILARITY = 0.8
 MIN_DOCS = 3
+#: The corpus jobs (op7 and the pipeline) take a template that stands in two documents as recurring.
+CORPUS_MIN_DOCS = 2
 
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"\d")
@@ -200,5 +202,5 @@ def _with_counts(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: every whole text of ``documents``: ``doc_id, n_lines, n_dropped, kept_sha256``."""
-    out = drop_lines(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_lines(C.table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=CORPUS_MIN_DOCS)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
