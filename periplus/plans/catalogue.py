@@ -14,7 +14,7 @@ from periplus.operators.materialize import work_dir, written
 from periplus.plans import oracles
 from periplus.sources import fixture
 
-#: Step of the interpolation query, in seconds (the operator's default is 180).
+#: Step of ``interpolate`` and ``interpolate_fill``, in seconds; the queries named ``_180s`` use the operator's default.
 STEP = 3600
 
 
@@ -206,16 +206,32 @@ def voyages_stream(spark, sf):
     return spark.read.schema(streamed.OUTPUT).parquet(out).select("row_id", "mmsi", "voyage_id", "itinerary", "seconds", "lon", "lat")
 
 
-def interpolate(spark, sf):
-    new = interpolation.interpolated(_voyages(spark, sf), fixture.ports(spark), STEP)
+def _new_points(spark, sf, step):
+    new = interpolation.interpolated(_voyages(spark, sf), fixture.ports(spark), step)
     return new.select("voyage_id", "seconds", "k", "lon", "lat", _r("knots", 4).alias("knots"), _r("bearing", 4).alias("bearing"))
 
 
-def interpolate_fill(spark, sf):
-    out = interpolation.fill(_voyages(spark, sf), fixture.ports(spark), STEP)
+def _filled(spark, sf, step):
+    out = interpolation.fill(_voyages(spark, sf), fixture.ports(spark), step)
     return out.groupBy("voyage_id").agg(F.count(F.lit(1)).alias("positions"), F.sum(F.col("is_interpolated").cast("bigint")).alias("interpolated"))
 
 
+def interpolate(spark, sf):
+    return _new_points(spark, sf, STEP)
+
+
+def interpolate_fill(spark, sf):
+    return _filled(spark, sf, STEP)
+
+
+def interpolate_180s(spark, sf):
+    return _new_points(spark, sf, interpolation.STEP_SECONDS)
+
+
+def interpolate_fill_180s(spark, sf):
+    return _filled(spark, sf, interpolation.STEP_SECONDS)
+
+
 # -- statistics ----------------------------------------------------------------------------------
 
 
@@ -359,7 +375,7 @@ def hull_accuracy(spark, sf):
 NAMES = (
     "ais_positions cell_assign grid_cells format_wkt parse_wkt polygon_area stopped_filter shiptype_filter first_per_cell_vessel unique_coords "
     "haversine_steps heading_diff turning_points dead_reckoning to_cartesian to_geodetic euclidean bearing implied_speed lagrange3 "
-    "pip_waypoint_lookup pip_semi pip_anti gap_flags voyage_positions voyage_segments voyage_summary voyages_stream interpolate interpolate_fill "
+    "pip_waypoint_lookup pip_semi pip_anti gap_flags voyage_positions voyage_segments voyage_summary voyages_stream interpolate interpolate_fill interpolate_180s interpolate_fill_180s "
     "cell_stats step_distance_stats cluster_stats_quadrant cluster_endpoints circular_stats vessel_voyage_counts key_counts balanced_partition "
     "dbscan_labels waypoints waypoint_hulls traj_clusters route_clusters hull_features hull_rows itinerary_clusters convex_hull_vertices hull_bounds concave_hull "
     "kfold_split kfold_rows hull_accuracy"

@@ -97,15 +97,22 @@ labelled AS (SELECT * FROM named UNION ALL SELECT * FROM border)"""
 CELLS = f"cells AS (SELECT * FROM (SELECT *, {cell('lon', 'lat')} AS cell_id FROM voyages) WHERE cell_id IS NOT NULL)"
 STOPS = f"stops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, mmsi ORDER BY seconds, row_id) AS rn FROM (SELECT *, {fine('lon', 'lat')} AS cell_id FROM ais WHERE speed = 0) WHERE cell_id IS NOT NULL) WHERE rn = 1)"
 STEPS = f"steps AS (SELECT *, {km('lag(lon) OVER o', 'lag(lat) OVER o', 'lon', 'lat')} AS d FROM cells WINDOW o AS (PARTITION BY itinerary, cell_id ORDER BY voyage_id, seconds, row_id))"
-FRAMES = """
+
+
+def new_points(step: int) -> tuple[str, str]:
+    """CTEs of the points that interpolation sets every ``step`` seconds."""
+    frames = f"""
 single AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY voyage_id, lon, lat) AS c FROM voyages) WHERE c = 1),
 framed AS (SELECT *, lag(lon) OVER o AS lon1, lag(lat) OVER o AS lat1, lead(lon) OVER o AS lon3, lead(lat) OVER o AS lat3, lead(seconds) OVER o AS seconds3, lag(row_id) OVER o AS r1 FROM single WINDOW o AS (PARTITION BY voyage_id ORDER BY seconds, row_id)),
-wide AS (SELECT *, (seconds3 - seconds) // 3600 - 1 AS n FROM framed WHERE r1 IS NOT NULL AND seconds3 IS NOT NULL AND seconds3 - seconds > 7200 AND lon3 <> lon AND lon1 <> lon AND lon1 <> lon3),
+wide AS (SELECT *, (seconds3 - seconds) // {step} - 1 AS n FROM framed WHERE r1 IS NOT NULL AND seconds3 IS NOT NULL AND seconds3 - seconds > {2 * step} AND lon3 <> lon AND lon1 <> lon AND lon1 <> lon3),
 ks AS (SELECT *, (lon3 - lon) / CAST(n AS DOUBLE) AS inc, unnest(generate_series(1, n - 1)) AS k FROM wide WHERE n >= 2)"""
-NEW = f"""
+    points = f"""
 set_k AS (SELECT *, lon + k * inc AS lon_k, CASE WHEN k = 1 THEN lon ELSE lon + (k - 1) * inc END AS lon_p FROM ks),
 lat_k AS (SELECT *, {lagrange('lon_k')} AS lat_k, CASE WHEN k = 1 THEN lat ELSE {lagrange('lon_p')} END AS lat_p FROM set_k),
-new AS (SELECT voyage_id, seconds + k * 3600 AS seconds, k, lon_k, lat_k, lon_p, lat_p FROM lat_k WHERE NOT EXISTS (SELECT 1 FROM ports p WHERE lon_k >= w AND lon_k < ea AND lat_k >= s AND lat_k < n_))"""
+new AS (SELECT voyage_id, seconds + k * {step} AS seconds, k, lon_k, lat_k, lon_p, lat_p FROM lat_k WHERE NOT EXISTS (SELECT 1 FROM ports p WHERE lon_k >= w AND lon_k < ea AND lat_k >= s AND lat_k < n_))"""
+    return frames, points
+
+
 FOLDS = "folds AS (SELECT itinerary, CAST((row_number() OVER (ORDER BY md5('7:' || itinerary), itinerary) - 1) % 10 AS INTEGER) AS fold FROM (SELECT DISTINCT itinerary FROM voyages))"
 QUADRANT = """
 g AS (SELECT itinerary, avg(cog) AS c, avg(speed) AS sp, stddev_pop(speed) AS sd, stddev_pop(cog) AS cd, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM voyages GROUP BY itinerary),
@@ -138,7 +145,7 @@ limited AS (SELECT c.*, d, s, h FROM cells c JOIN limits USING (itinerary, cell_
     traj = more(CELLS, limits, labels("limited", similar, 3, "l.itinerary = r.itinerary AND l.cell_id = r.cell_id AND"), recursive=True)
     route_near = f"round({km('l.lon', 'l.lat', 'r.lon', 'r.lat')}, 6) <= 5.0 AND round(abs(l.speed - r.speed), 6) <= 10.0 AND {turn('l.cog', 'r.cog')} <= 60.0"
     ports_n = PORTS.replace("AS n FROM lanes", "AS n_ FROM lanes").replace("s, s, n, n, s", "s, s, n_, n_, s")
-    filled = _with(AIS, ports_n, PORT_OF, SEGMENTS, VOYAGES, FRAMES, NEW)
+    filled, filled_180 = (_with(AIS, ports_n, PORT_OF, SEGMENTS, VOYAGES, *new_points(step)) for step in (3600, 180))
     return {
         "ais_positions": ais + "SELECT * FROM ais",
         "cell_assign": ais + f"SELECT row_id, {cell('lon', 'lat')} AS cell_id, {fine('lon', 'lat')} AS fine_cell_id FROM ais",
@@ -170,6 +177,8 @@ limited AS (SELECT c.*, d, s, h FROM cells c JOIN limits USING (itinerary, cell_
         "voyage_summary": voy + "SELECT voyage_id, itinerary, count(*) AS positions, min(seconds) AS start_s, max(seconds) AS end_s FROM voyages GROUP BY voyage_id, itinerary",
         "interpolate": filled + f"SELECT voyage_id, seconds, k, lon_k AS lon, lat_k AS lat, round({km('lon_p', 'lat_p', 'lon_k', 'lat_k')} * 3600.0 / 3600.0 / 1.852, 4) + 0.0 AS knots, round({bearing('lon_p', 'lat_p', 'lon_k', 'lat_k')}, 4) + 0.0 AS bearing FROM new",
         "interpolate_fill": filled + "SELECT v.voyage_id, v.c + coalesce(m.c, 0) AS positions, coalesce(m.c, 0) AS interpolated FROM (SELECT voyage_id, count(*) AS c FROM voyages GROUP BY voyage_id) v LEFT JOIN (SELECT voyage_id, count(*) AS c FROM new GROUP BY voyage_id) m USING (voyage_id)",
+        "interpolate_180s": filled_180 + f"SELECT voyage_id, seconds, k, lon_k AS lon, lat_k AS lat, round({km('lon_p', 'lat_p', 'lon_k', 'lat_k')} * 3600.0 / 180.0 / 1.852, 4) + 0.0 AS knots, round({bearing('lon_p', 'lat_p', 'lon_k', 'lat_k')}, 4) + 0.0 AS bearing FROM new",
+        "interpolate_fill_180s": filled_180 + "SELECT v.voyage_id, v.c + coalesce(m.c, 0) AS positions, coalesce(m.c, 0) AS interpolated FROM (SELECT voyage_id, count(*) AS c FROM voyages GROUP BY voyage_id) v LEFT JOIN (SELECT voyage_id, count(*) AS c FROM new GROUP BY voyage_id) m USING (voyage_id)",
         "cell_stats": more(CELLS) + f"SELECT itinerary || '-' || cell_id AS key, itinerary, cell_id, {spread('cog', 'heading')}, {spread('speed', 'speed')} FROM cells GROUP BY itinerary, cell_id",
         "step_distance_stats": more(CELLS, STEPS) + "SELECT itinerary, cell_id, round(coalesce(avg(d), 0), 6) + 0.0 AS mean_km, round(coalesce(stddev_pop(d), 0), 6) + 0.0 AS std_km FROM steps GROUP BY itinerary, cell_id",
         "cluster_stats_quadrant": more(QUADRANT) + "SELECT * FROM stats",
