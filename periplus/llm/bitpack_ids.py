@@ -6,7 +6,7 @@ the files in order hold all ids in ascending ``doc_id`` order. A file is
     payload blocks | doc ids (int64) | null flags (u8) | ends (u64: ids up to the end of each document)
     | block offsets (u64) | header (40 bytes: counts, ids per block, width, magic)
 
-Ids take ``width`` bits, the fewest that the vocabulary needs. 64 ids fill ``width`` whole 64-bit
+Ids take ``width`` bits, the fewest that the vocabulary's largest id needs. 64 ids fill ``width`` whole 64-bit
 words, so packing and unpacking are a fixed number of shifts over numpy columns, and a block can be
 read alone through its offset. Files are written under the attempt's own name, and a written
 manifest names those that count; a lost task writes again without harm.
@@ -32,6 +32,8 @@ from . import tokens
 END_ID = 2
 #: Ids in a block (a multiple of 64).
 BLOCK_IDS = 1 << 16
+#: Ids that are read at once (one longer document goes alone).
+READ_IDS = 1 << 20
 MAGIC = b"IDBITS01"
 HEADER = 40
 
@@ -87,10 +89,11 @@ class Writer:
         self.ends: list[int] = []
         self.offsets, self.held, self.size, self.total = [0], [], 0, 0
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc)
+    def add(self, docs: list[int | None], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents, with their ids one after another and where each one's end."""
+        self.docs += docs
+        self.ends += (ends + self.total).tolist()
         self.total += len(ids)
-        self.ends.append(self.total)
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= self.block_ids:
@@ -98,7 +101,7 @@ class Writer:
             whole = len(x) - len(x) % self.block_ids
             for a in range(0, whole, self.block_ids):
                 self._block(x[a : a + self.block_ids])
-            self.held, self.size = [x[whole:]], len(x) - whole
+            self.held, self.size = [x[whole:].copy()], len(x) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         data = pack_bits(ids, self.width)
@@ -163,15 +166,13 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, bl
         system.create_dir(base, recursive=True)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.ids"
         writer = stream = None
-        end = np.array([end_id], np.uint32)
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for low in range(0, len(texts), 500):
-                for doc, ids in zip(doc_ids[low : low + 500], enc.encode([t or "" for t in texts[low : low + 500]])):
-                    if writer is None:
-                        stream = system.open_output_stream(f"{base}/{name}")
-                        writer = Writer(stream, max(1, (enc.vocab - 1).bit_length()), block_ids)
-                    writer.add(doc, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            for doc_ids, texts in tokens.slices(b):
+                if writer is None:
+                    stream = system.open_output_stream(f"{base}/{name}")
+                    writer = Writer(stream, max(1, max(enc.top, end_id).bit_length()), block_ids)
+                ids, bounds = enc.flat_with_end(texts, end_id)
+                writer.add(doc_ids, ids, bounds[1:])
         if writer is not None:
             writer.close()
             stream.close()
@@ -192,13 +193,15 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 with system.open_input_file(at) as file:
                     r = Reader(file, file.size())
                     begins = np.concatenate([[0], r.ends[:-1]]).astype(np.int64)
-                    for low in range(0, len(r.docs), 1000):
-                        span = slice(low, low + 1000)
-                        data = [r.ids(int(a), int(e)).astype("<u4").tobytes() for a, e in zip(begins[span], r.ends[span])]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(r.docs[span], pa.int64(), mask=r.null[span].astype(bool)), pa.array(begins[span] + start), pa.array(r.ends[span] - begins[span]), pa.array(data, pa.binary())],
-                            names=["doc_id", "start", "n_tokens", "ids"],
-                        )
+                    low = 0
+                    while low < len(r.docs):  # a bounded part of the ids at a time
+                        high = max(low + 1, min(low + 1000, int(np.searchsorted(r.ends, begins[low] + READ_IDS, "right"))))
+                        span = slice(low, high)
+                        data = r.ids(int(begins[low]), int(r.ends[high - 1])).astype("<u4", copy=False)
+                        places = pa.py_buffer((4 * np.append(begins[span], r.ends[high - 1]) - 4 * begins[low]).astype("<i4").tobytes())
+                        ids = pa.Array.from_buffers(pa.binary(), high - low, [None, places, pa.py_buffer(data.tobytes())])
+                        yield pa.RecordBatch.from_arrays([pa.array(r.docs[span], pa.int64(), mask=r.null[span].astype(bool)), pa.array(begins[span] + start), pa.array(r.ends[span] - begins[span]), ids], names=["doc_id", "start", "n_tokens", "ids"])
+                        low = high
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("path", before.cast("long").alias("start"))

@@ -2,25 +2,37 @@
 
 A byte-level BPE never merges across its pre-tokens, and a single space between two other
 characters always begins one. Texts are cut there, each distinct unit is encoded once, and the ids
-of a text are joined from its units; the ids are those of encoding the whole text.
+of a text are joined from its units by numpy; the ids are those of encoding the whole text. The file
+of the vocabulary is checked for this when it is loaded: with any other pre-tokenizer, a normaliser,
+a prefix space, dropout or added tokens that could reach over a space, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Units that a worker keeps at most; past it the cache starts anew.
-CACHE_UNITS = 800_000
+#: Units, and bytes of them and their ids, that a worker keeps at most; past either the cache starts anew.
+CACHE_UNITS = 300_000
+CACHE_BYTES = 48 << 20
+#: Texts, and bytes of them, that are encoded at once (one longer text goes alone).
+SLICE_ROWS = 1500
+SLICE_BYTES = 4 << 20
 
 #: White space that is not ASCII's common four, by Unicode (fixed values).
 _RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Units that are encoded as one text.
-_TOGETHER = 400
+#: Units that are encoded as one text, and such texts in a call.
+_TOGETHER = 200
+_CALLS = 10
 
 
 def _plain(text: str) -> bool:
@@ -34,59 +46,138 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def by_units(path: str) -> bool:
+    """Whether a vocabulary file lets texts be cut at single spaces."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    added = spec.get("added_tokens") or []
+    return (
+        pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None and spec.get("truncation") is None
+        and model.get("type") == "BPE" and not model.get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+    )
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts (null: empty) of a batch of ``doc_id, text``, a bounded part at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, min(low + rows, int(np.searchsorted(ends, before + size, "right"))))
+        part = batch.slice(low, high - low)
+        yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+        low = high
+
+
 class UnitEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
-        self.units: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        #: The largest id: a vocabulary may have holes.
+        self.top = max(vocab.values(), default=0)
+        self.whole = not by_units(path)
+        if not self.whole:
+            self.tok.model._resize_cache(0)  # units come once; the library's own cache would only be filled
         #: Whether a token begins with a space (written as this letter in the vocabulary).
-        self.spaced = np.zeros(max(self.tok.get_vocab(with_added_tokens=True).values(), default=0) + 1, bool)
-        for token, number in self.tok.get_vocab(with_added_tokens=True).items():
-            self.spaced[number] = token.startswith("\u0120")
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode units, with the space before each.
+        self.spaced = np.zeros(self.top + 1, bool)
+        for token, number in vocab.items():
+            self.spaced[number] = token.startswith("Ġ")
+        self._empty()
+
+    def _empty(self) -> None:
+        """Forget all units. ``data`` holds their ids one after another; unit k's are at ``begin[k]``, ``size[k]`` of them."""
+        self.units: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.data, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n, self.used, self.chars = 0, 0, 0
+
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, known: dict[str, int], units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(units), self.used + len(ids)
+        if n > len(self.size):
+            self.begin, self.size = (np.concatenate([a, np.zeros(max(n - len(a), len(a)), np.int64)]) for a in (self.begin, self.size))
+        if used > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(used - len(self.data), len(self.data)), np.uint32)])
+        self.data[self.used : used] = ids
+        self.size[self.n : n] = sizes
+        self.begin[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        known.update(zip(units, range(self.n, n)))
+        self.n, self.used, self.chars = n, used, self.chars + len("".join(units))
+
+    def _learn(self, known: dict[str, int], units: list[str], lead: str) -> None:
+        """Encode units, with the space before each if ``lead`` is one.
 
         Units without white space at their ends or spaces inside are encoded many to a text; there, the tokens
         that begin with a space are the first ones of units.
         """
-        whole = [u for u in new if " " not in u and u == u.strip() and u]
-        rest = [u for u in new if not (" " not in u and u == u.strip() and u)]
-        groups = [whole[k : k + _TOGETHER] for k in range(0, len(whole), _TOGETHER)]
-        for low in range(0, len(groups), 64):
-            part = groups[low : low + 64]
-            found = self.tok.encode_batch_fast([" " + " ".join(g) for g in part], add_special_tokens=False)
-            for g, e in zip(part, found):
-                ids = np.array(e.ids, "<u4")
-                cuts = np.flatnonzero(self.spaced[ids])
-                if len(cuts) != len(g):
-                    rest += g
-                    continue
-                data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-                self.units.update(zip(g, [data[a:b] for a, b in zip((4 * cuts).tolist(), ends)]))
-        if rest:
-            self.units.update(zip(rest, self._raw([" " + u for u in rest])))
+        rest = units
+        if lead:
+            whole = [u for u in units if u and u.strip() is u and " " not in u]
+            rest = list(set(units).difference(whole)) if len(whole) < len(units) else []
+            for low in range(0, len(whole), _TOGETHER * _CALLS):
+                groups = [whole[k : k + _TOGETHER] for k in range(low, min(low + _TOGETHER * _CALLS, len(whole)), _TOGETHER)]
+                found = self._raw([lead + " ".join(g) for g in groups])
+                ids = np.concatenate(found)
+                first = self.spaced[ids]
+                each = np.add.reduceat(first, np.cumsum([0, *map(len, found[:-1])]), dtype=np.int64)
+                if each.tolist() == list(map(len, groups)):
+                    self._keep(known, whole[low : low + _TOGETHER * _CALLS], ids, np.diff(np.append(np.flatnonzero(first), len(ids))))
+                else:
+                    rest += whole[low : low + _TOGETHER * _CALLS]
+        for k in range(0, len(rest), _TOGETHER * _CALLS):
+            part = rest[k : k + _TOGETHER * _CALLS]
+            ids = self._raw([lead + u for u in part])
+            self._keep(known, part, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (with the end as the last)."""
+        if self.whole:
+            ids = self._raw(texts)
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, ids)], dtype=np.int64)
+        if self.n > CACHE_UNITS or 4 * self.used + self.chars > CACHE_BYTES:
+            self._empty()
+        parts = [t.split(" ") if _plain(t) else _CUT.split(t) for t in texts]
+        heads = [p[0] for p in parts]
+        bounds = np.cumsum([0, *map(len, parts)], dtype=np.int64)
+        # A head stands for itself below; among the units, the empty one holds its place.
+        for p in parts:
+            p[0] = ""
+        words = list(chain.from_iterable(parts))
+        known = list(map(self.units.get, words))
+        if None in known:
+            open_ = [k for k, number in enumerate(known) if number is None]
+            self._learn(self.units, list({words[k] for k in open_}), " ")
+            for k in open_:
+                known[k] = self.units[words[k]]
+        if new := list({h for h in heads if h not in self.heads}):
+            self._learn(self.heads, new, "")
+        unit = np.array(known, np.int64)
+        unit[bounds[:-1]] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
+        sizes = self.size[unit]
+        ends = np.cumsum(sizes)
+        ids = self.data[np.repeat(self.begin[unit] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[bounds]
+
+    def flat_with_end(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with an end id after each text."""
+        ids, bounds = self.flat(texts)
+        out = np.full(len(ids) + len(texts), end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(bounds))] = ids
+        return out, bounds + np.arange(len(bounds))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        parts = [t.split(" ") if _plain(t) else _CUT.split(t) for t in texts]
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        heads = self._raw([ps[0] for ps in parts])
-        parts = [ps[1:] for ps in parts]
-        new = set().union(*parts).difference(self.units)
-        if new:
-            self._learn(new)
-        get = self.units.__getitem__
-        return [h + b"".join([get(p) for p in ps]) for h, ps in zip(heads, parts)]
+        """The ids of each text, as little-endian bytes."""
+        ids, bounds = self.flat(texts)
+        data = ids.astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist())]
 
 
 _encoders: dict[str, UnitEncoder] = {}
