@@ -26,6 +26,9 @@ BLOCK_BYTES = 6 << 20
 #: Documents in a block, so that a document's place in it fits 16 bits.
 BLOCK_DOCS = 60_000
 
+#: Base of the rolling hashes (an odd number).
+FACTOR = 0x9E3779B97F4A7C15
+
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<long>, body binary, carry array<string>"
 
 

@@ -66,7 +66,7 @@ class Words:
     @staticmethod
     def roll(x: np.ndarray, window: int) -> np.ndarray:
         """Polynomial hash of each window, by doubling."""
-        mult = 0x9E3779B97F4A7C15 | 1
+        mult = C.FACTOR
         out, done, power = None, 0, 1
         part, size, part_power = x, 1, mult
         while window:

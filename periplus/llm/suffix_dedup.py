@@ -2,11 +2,13 @@
 
 Every pair of equal ``length``-byte strings must meet in a suffix array. Which texts can meet is found
 by content: the anchor of a string is the ``gram``-byte substring with the smallest hash in it, so equal
-strings have equal anchors at equal offsets. The strings around one anchor occurrence form a
-*context*, a stretch of text. Three passes over packed blocks:
+strings have equal anchors at equal offsets. An anchor has at least half of the other bytes on one side:
+the anchor with that half (66 bytes of 100) is the string's *key*, of one of two sides by the anchor's offset. The
+strings around one anchor occurrence with the same side form a *context*, a stretch of text. Three passes over
+packed blocks:
 
-1. Each block sends its distinct anchor hashes; buckets answer which of them other blocks have too.
-2. Contexts whose anchor recurs (alone in its block or elsewhere) go to the bucket of the anchor, each
+1. Each block sends its distinct key hashes; buckets answer which of them other blocks have too.
+2. Contexts whose key recurs (in its block or elsewhere) go to the bucket of the key, each
    distinct one once per block with its first place. A bucket sorts the suffixes of its contexts by the
    difference-cover algorithm: the suffixes at places not divisible by 3 are sorted by their triples,
    which are named; if names repeat, the algorithm recurses on the text of names; the other suffixes
@@ -15,8 +17,8 @@ strings have equal anchors at equal offsets. The strings around one anchor occur
 3. The answers, a flag per string, are cogrouped with the blocks, which cut the bytes that are covered.
 
 A pass sends a key once per block, so copies in any number cost a row per block. A bucket's contexts
-are sorted in batches of at most ``BATCH_BYTES`` that never part an anchor. Comparison is exact: hashes
-only choose who meets.
+are sorted in batches of at most ``BATCH_BYTES`` that never part a key: an anchor that is common in many
+surroundings is cut by them. Comparison is exact: hashes only choose who meets.
 
 Edge cases: a null text is empty; texts shorter than ``length`` are kept whole; a null ``doc_id`` sorts first;
 rows that share a ``doc_id`` count as different documents, in the order of the blocks; other columns
@@ -87,7 +89,7 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
 
 
 class Contexts:
-    """The contexts of a block: runs of string starts that share their anchor occurrence."""
+    """The contexts of a block: runs of string starts that share their anchor occurrence and side."""
 
     def __init__(self, block: C.Block, length: int, gram: int):
         texts = [t or b"" for t in block.texts]
@@ -98,11 +100,14 @@ class Contexts:
         n = len(a)
         low, high, hashes = [], [], []
         ends = np.repeat(self.starts[1:], self.sizes)
+        span = length - gram + 1
+        half = span // 2
         for s in range(0, max(n - length + 1, 0), SEGMENT):
             e = min(s + SEGMENT, n - length + 1)
-            g = C.mix64(Words.roll(a[s : e + length - 1].astype(np.uint64) + np.uint64(1), gram))
-            key = (g >> np.uint64(26) << np.uint64(26)) | np.arange(len(g), dtype=np.uint64)
-            span, size = length - gram + 1, 1
+            letters = a[s : e + length - 1].astype(np.uint64) + np.uint64(1)
+            rolled = Words.roll(letters, gram)
+            key = (C.mix64(rolled) >> np.uint64(26) << np.uint64(26)) | np.arange(len(rolled), dtype=np.uint64)
+            size = 1
             while size * 2 <= span:
                 key = np.minimum(key[:-size], key[size:])
                 size *= 2
@@ -113,16 +118,33 @@ class Contexts:
             at = at[: e - s]
             first = inside.copy()
             first[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
-            low.append(np.flatnonzero(first) + s)
-            hashes.append(C.mix64(g[at[first]]))  # smallest hashes crowd the low range: spread them anew
             goes_on = np.concatenate([inside[1:] & (at[1:] == at[:-1]), [False]])
-            high.append(np.flatnonzero(inside & ~goes_on) + s)
+            begin, end, anchor = np.flatnonzero(first), np.flatnonzero(inside & ~goes_on), at[first]
+            # Strings with more than half of the other bytes before the anchor, and the others.
+            left, right = begin < anchor - half, end >= anchor - half
+            low += [begin[left] + s, np.maximum(begin, anchor - half)[right] + s]
+            high += [np.minimum(end, anchor - half - 1)[left] + s, end[right] + s]
+            hashes += [self.key(letters, rolled, anchor[left] - half, gram, half, 1), self.key(letters, rolled, anchor[right], gram, half, 2)]
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        #: First and last string start of each run, and the hash of its anchor.
-        self.low, self.high, self.hash = cat(low, np.int64), cat(high, np.int64), cat(hashes, np.uint64)
+        by = np.argsort(cat(low, np.int64), kind="stable")
+        #: First and last string start of each run, and the hash of its key.
+        self.low, self.high, self.hash = cat(low, np.int64)[by], cat(high, np.int64)[by], cat(hashes, np.uint64)[by]
         self.length = length
         self.doc = np.searchsorted(self.starts, self.low, "right") - 1
 
+    @staticmethod
+    def key(letters: np.ndarray, rolled: np.ndarray, at: np.ndarray, gram: int, half: int, side: int) -> np.ndarray:
+        """Hash of the ``gram + half`` letters at each place, from the rolled hashes of grams and single letters."""
+        out, power, done = np.zeros(len(at), np.uint64), 1, 0
+        step = pow(C.FACTOR, gram, 1 << 64)
+        while done + gram <= gram + half:
+            out += rolled[at + done] * np.uint64(power)
+            power, done = power * step % (1 << 64), done + gram
+        while done < gram + half:
+            out += letters[at + done] * np.uint64(power)
+            power, done = power * C.FACTOR % (1 << 64), done + 1
+        return C.mix64(out + np.uint64(side))
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.unique(self.hash, return_inverse=True, return_counts=True)
 
