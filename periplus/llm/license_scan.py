@@ -1,7 +1,7 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
 Every rolling ``GRAM``-word hash of every text is joined with the positions of the same grams in the
-license templates (a fixed list in this module, so the broadcast table has a proven size). A match of
+license templates (the fixed texts of ``license_texts``, so the broadcast table has a proven size). A match of
 text word i with template word j votes for the diagonal i - j; votes are summed per (document,
 template, diagonal) before the shuffle. Diagonals of a template that lie at most ``DRIFT`` apart and
 near each other in the text are merged to spans, so that a word more or less does not break a
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from .license_texts import TEMPLATES
 
 GRAM = 3
 DRIFT = 2
@@ -33,26 +34,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notices and the openings of well-known license texts, as label and words.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("all-rights-reserved", "all rights reserved"),
-)
-
-
 def template_grams() -> list[tuple]:
     """(template, label, grams in it, position, words of the gram); template -1 is the sentinel."""
     rows: list[tuple] = [(-1, "", 0, -1, "", "", "")]
@@ -89,17 +70,19 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<int>")
     hits = [F.when(F.array_contains("words", p.split()[-1]) & (F.size("words") >= len(p.split())), places(F.col("words"), p)).otherwise(none) for p, _ in PHRASES]
     rows = rows.withColumn("hits", F.array(*hits))
-    rolled = F.when(
-        F.size("words") >= GRAM,
-        F.transform(F.sequence(F.lit(0), F.size("words") - GRAM), lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(GRAM)])),
-    ).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("rolled", F.array_append(rolled, F.lit(0).cast("long")))
-    at = rows.select("rid", "doc_id", F.size("words").alias("n_words"), "hits", "words", F.posexplode_outer("rolled").alias("i", "gram"))
-    votes = at.join(F.broadcast(grams), "gram").where((F.col("template") < 0) & (F.col("i") >= F.col("n_words") - GRAM + 1) | _all(*[F.get(F.col("words"), F.col("i") + k) == F.col(f"w{k}") for k in range(GRAM)]))
+    # A gram goes out with its own words only, and the document's row with the sentinel: never the whole text per gram.
+    head = F.struct("doc_id", F.size("words").alias("n_words"), "hits")
+    nobody = F.when(F.lit(False), head)
+    gram = lambda i: [F.get(F.col("words"), i + k) for k in range(GRAM)]
+    row = lambda i, h, ws, who: F.struct(i.alias("i"), h.alias("gram"), *[w.alias(f"v{k}") for k, w in enumerate(ws)], who.alias("head"))
+    sentinel = row(F.size("words"), F.lit(0).cast("long"), [F.lit("")] * GRAM, head)
+    rolled = F.when(F.size("words") >= GRAM, F.transform(F.sequence(F.lit(0), F.size("words") - GRAM), lambda i: row(i, F.xxhash64(*gram(i)), gram(i), nobody)))
+    at = rows.select("rid", F.inline(F.concat(F.coalesce(rolled, F.array().cast(f"array<struct<i:int,gram:bigint,{','.join(f'v{k}:string' for k in range(GRAM))},head:struct<doc_id:bigint,n_words:int,hits:array<array<int>>>>>")), F.array(sentinel))))
+    # The words must agree: a document's own gram of hash 0 doesn't meet the sentinel's empty words.
+    votes = at.join(F.broadcast(grams), "gram").where(_all(*[F.col(f"v{k}") == F.col(f"w{k}") for k in range(GRAM)]))
     votes = votes.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("i") - F.col("pos")).otherwise(0))
-    head = F.when(F.col("template") < 0, F.struct("doc_id", "n_words", "hits"))
     lines = votes.groupBy("rid", "template", "label", "size", "diagonal").agg(
-        F.max(head).alias("head"), F.min("i").alias("low"), F.max("i").alias("high"), F.min("pos").alias("t_low"), F.max("pos").alias("t_high"), F.count(F.lit(1)).alias("votes")
+        F.max("head").alias("head"), F.min("i").alias("low"), F.max("i").alias("high"), F.min("pos").alias("t_low"), F.max("pos").alias("t_high"), F.count(F.lit(1)).alias("votes")
     )
     # Neighbouring diagonals that go on where the last ended, or overlap it, are one span.
     order = Window.partitionBy("rid", "template").orderBy("diagonal", "low")
@@ -141,10 +124,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same result in DuckDB, with the grams compared as words."""
-    grams = ", ".join(f"({t}, '{label}', {size}, {pos}, '{a} {b} {c}')" for t, label, size, pos, a, b, c in template_grams() if t >= 0)
+    texts = ", ".join(f"({t}, '{label}', '{text}')" for t, (label, text) in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES)
     return rf"""
-WITH t(template, label, size, pos, gram) AS (VALUES {grams}), p(phrase, label, size) AS (VALUES {phrases}),
+WITH texts(template, label, ws) AS (SELECT a, b, string_split(c, ' ') FROM (VALUES {texts}) AS x(a, b, c)), p(phrase, label, size) AS (VALUES {phrases}),
+t AS (SELECT template, label, len(ws) - {GRAM - 1} AS size, k - 1 AS pos, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS gram
+      FROM (SELECT *, unnest(generate_series(1, len(ws) - {GRAM - 1})) AS k FROM texts)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 w AS (SELECT rid, ws, unnest(generate_series(1, len(ws))) AS k FROM d WHERE len(ws) > 0),
 g AS (SELECT rid, k - 1 AS i, ws[k] || ' ' || ws[k + 1] AS g2, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS g3 FROM w),
