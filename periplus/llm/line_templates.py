@@ -2,8 +2,9 @@
 
 Lines are parsed by a tree of fixed depth: first the number of tokens, then the ``depth`` leading tokens.
 Tokens that hold a digit are variable fields from the start. In a leaf, lines join the template with
-which they share the largest part of their tokens, if that is at least ``similarity`` of all; positions
-where they differ become variable fields of the template. A template that stands in at least
+which they share the largest part of their tokens, if that is at least ``similarity`` of all and one constant token is
+among them; positions where they differ become variable fields of the template. A line of variable fields alone
+(numbers, dates) is content: it is its own template, with its tokens as they stand. A template that stands in at least
 ``min_docs`` documents is recurring: its lines are dropped, except in the document that has it first
 (smallest ``doc_id``), so that copied text keeps one place.
 
@@ -11,8 +12,9 @@ Documents are packed into blocks; a block sends each distinct line (after maskin
 its leaf, with the ``min_docs`` smallest documents that have it (enough to decide whether ``min_docs`` have
 the template, and which is first). A bucket therefore gets a row per line and block, however common
 the line. Lines of a leaf are taken in the order of their first document and text, which makes the
-templates independent of the partitioning. A leaf's templates are found through the pieces
-of which a line must share one to be similar enough, so a crowded leaf isn't searched as a whole.
+templates independent of the partitioning. A leaf's templates are found through the pieces (of the tokens after
+the leading ones) of which a line must share one to be similar enough, so a crowded leaf isn't searched as a whole,
+and those that share a piece are compared at once. A leaf is one task's work.
 
 Edge cases: null texts stay null and empty ones empty; lines without a token (blank ones) are no templates
 and always stay; a null ``doc_id`` sorts first; rows that share a ``doc_id`` count as one document; an empty
@@ -25,6 +27,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,16 +49,21 @@ REPLY = "block long, drops binary"
 
 
 def masked(line: bytes) -> bytes:
-    """A line's tokens, joined by spaces, with variable fields masked; empty for a blank line."""
+    """A line's tokens, joined by spaces, with variable fields masked unless all are; empty for a blank line."""
     tokens = line.split()
     if _DIGIT.search(line):
-        tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+        fields = [_DIGIT.search(t) is not None for t in tokens]
+        if not all(fields):
+            tokens = [FIELD if f else t for f, t in zip(fields, tokens)]
     return b" ".join(tokens)
 
 
-def leaf_key(line: bytes, depth: int) -> tuple:
-    tokens = line.split(b" ")
-    return (len(tokens), *tokens[:depth])
+def leaf_key(line: bytes, depth: int) -> bytes:
+    """The leaf of a masked line: token count and leading tokens; the whole line if all tokens are variable fields."""
+    head = line.split(b" ", depth)[:depth]
+    if _DIGIT.search(line):  # what holds a digit after masking has no constant token
+        return b"=" + line
+    return b"\x00".join((b"%d" % (line.count(b" ") + 1), *head))
 
 
 def block_lines(block: C.Block, depth: int, min_docs: int) -> dict[bytes, list[int]]:
@@ -83,48 +91,73 @@ def decode_lines(data: bytes) -> list[tuple[bytes, list[int]]]:
     return out
 
 
-class Leaf:
-    """Templates of one leaf of the tree, as token lists with variable fields."""
+class Numbers:
+    """A growing array."""
+
+    def __init__(self):
+        self.data, self.n = np.empty(4, np.int64), 0
+
+    def append(self, number: int) -> None:
+        if self.n == len(self.data):
+            self.data = np.concatenate([self.data, self.data])
+        self.data[self.n] = number
+        self.n += 1
 
-    def __init__(self, similarity: float):
-        self.similarity = similarity
-        self.templates: list[list[bytes]] = []
-        self.by_piece: dict[tuple, list[int]] = defaultdict(list)
+    def all(self) -> np.ndarray:
+        return self.data[: self.n]
 
-    def _pieces(self, tokens: list[bytes]) -> Iterator[tuple]:
-        # Of one part more than the tokens that may differ, one is shared wholly.
-        n = len(tokens)
-        parts = min(n, int(n * (1 - self.similarity) + 1e-9) + 1)
+
+class Leaf:
+    """Templates of one leaf of the tree, as rows of token numbers; 0 is a variable field."""
+
+    def __init__(self, similarity: float, depth: int):
+        self.similarity, self.depth = similarity, depth
+        self.known: dict[bytes, int] = {FIELD: 0}
+        self.rows: np.ndarray | None = None
+        self.n = 0
+        self.by_piece: dict[tuple, Numbers] = defaultdict(Numbers)
+
+    def _pieces(self, tokens: list[int]) -> Iterator[tuple]:
+        # Of one part more than the tokens that may differ, one is shared wholly; the leading tokens are, always.
+        rest = max(len(tokens) - self.depth, 0)
+        parts = min(rest, int(len(tokens) * (1 - self.similarity) + 1e-9) + 1)
         for k in range(parts):
-            a, b = k * n // parts, (k + 1) * n // parts
+            a, b = self.depth + k * rest // parts, self.depth + (k + 1) * rest // parts
             yield (a, *tokens[a:b])
 
-    def add(self, tokens: list[bytes]) -> int:
+    def add(self, line: bytes) -> int:
         """Number of the template that the line joins or founds."""
-        best, most = -1, self.similarity * len(tokens) - 1e-9
-        pieces = list(self._pieces(tokens))
-        for t in sorted({t for p in pieces for t in self.by_piece.get(p, ())}):
-            same = sum(a == b for a, b in zip(self.templates[t], tokens))
-            if same > most:
-                best, most = t, same
-        if best < 0:
-            best = len(self.templates)
-            self.templates.append(list(tokens))
-            for p in pieces:
-                self.by_piece[p].append(best)
-            return best
-        template = self.templates[best]
-        if template != tokens:
-            self.templates[best] = [a if a == b else FIELD for a, b in zip(template, tokens)]
-            for p in self._pieces(self.templates[best]):
-                if best not in self.by_piece[p]:
-                    self.by_piece[p].append(best)
-        return best
+        tokens = [self.known.setdefault(t, len(self.known)) for t in line.split(b" ")]
+        if self.rows is None:
+            self.rows = np.zeros((4, len(tokens)), np.int64)
+        mine, pieces = np.array(tokens), list(self._pieces(tokens))
+        found = [self.by_piece[p].all() for p in pieces if p in self.by_piece]
+        near = np.concatenate(found) if found else np.arange(self.n if not pieces else 0)
+        if len(near):
+            equal = self.rows[near] == mine
+            same = np.where((equal & (mine != 0)).any(axis=1), equal.sum(axis=1), -1)
+            most = same.max()
+            if most > self.similarity * len(tokens) - 1e-9:
+                best = int(near[same == most].min())
+                kept = np.where(self.rows[best] == mine, mine, 0)
+                if (kept != self.rows[best]).any():
+                    old = set(self._pieces(self.rows[best].tolist()))
+                    self.rows[best] = kept
+                    for p in set(self._pieces(kept.tolist())) - old:
+                        self.by_piece[p].append(best)
+                return best
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, self.rows])
+        self.rows[self.n] = mine
+        for p in pieces:
+            self.by_piece[p].append(self.n)
+        self.n += 1
+        return self.n - 1
 
 
 def resolve_lines(lines: dict[bytes, list[int]], depth: int, similarity: float, min_docs: int) -> dict[bytes, int]:
     """The first document of each line whose template recurs."""
-    leaves: dict[tuple, list[bytes]] = defaultdict(list)
+    leaves: dict[bytes, list[bytes]] = defaultdict(list)
     for line in lines:
         leaves[leaf_key(line, depth)].append(line)
     out: dict[bytes, int] = {}
@@ -132,9 +165,9 @@ def resolve_lines(lines: dict[bytes, list[int]], depth: int, similarity: float,
         if len(members) == 1 and len(lines[members[0]]) < min_docs:
             continue
         members.sort(key=lambda x: (lines[x][0], x))
-        leaf, groups = Leaf(similarity), defaultdict(list)
+        leaf, groups = Leaf(similarity, depth), defaultdict(list)
         for line in members:
-            groups[leaf.add(line.split(b" "))].append(line)
+            groups[leaf.add(line)].append(line)
         for group in groups.values():
             docs = {d for line in group for d in lines[line]}
             if len(docs) >= min_docs:
@@ -153,8 +186,7 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARI
             for block in C.blocks_of(batch):
                 to: dict[int, list] = defaultdict(list)
                 for line, first in block_lines(block, depth, min_docs).items():
-                    key = b"\x00".join((b"%d" % (line.count(b" ") + 1), *line.split(b" ", depth)[:depth]))
-                    to[xxhash.xxh64_intdigest(key) % n_buckets].append((line, first))
+                    to[xxhash.xxh64_intdigest(leaf_key(line, depth)) % n_buckets].append((line, first))
                 if to:
                     yield pa.RecordBatch.from_arrays([pa.array(list(to), pa.int64()), pa.array([block.block] * len(to), pa.int64()), pa.array([encode_lines(v) for v in to.values()], pa.binary())], names=["bucket", "block", "lines"])
 

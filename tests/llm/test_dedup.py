@@ -104,32 +104,77 @@ def test_trie_with_clusters_and_salts(spark):
     assert sorted(map(sorted, by.values())) == sorted(sorted(s) for s in sets.values() if len(s) > 1)
 
 
+def plain_mask(line):
+    tokens = line.split()
+    variable = [any(48 <= c <= 57 for c in t) for t in tokens]
+    return tuple(t if all(variable) or not v else b"<*>" for t, v in zip(tokens, variable)), bool(tokens) and all(variable)
+
+
 def brute_lines(rows, depth=2, similarity=0.8, min_docs=3):
     lines, leaves, drop = {}, {}, {}
     for doc, text in rows:
         for line in (text or "").encode().split(b"\n"):
-            if m := line_templates.masked(line):
+            m, _ = plain_mask(line)
+            if m:
                 lines.setdefault(m, set()).add(doc)
-    for m in sorted(lines, key=lambda x: (min(lines[x]), x)):
-        leaves.setdefault(line_templates.leaf_key(m, depth), []).append(m)
+    for m in sorted(lines, key=lambda x: (min(lines[x]), b" ".join(x))):
+        fields = all(any(48 <= c <= 57 for c in t) for t in m)
+        leaves.setdefault(m if fields else (len(m), *m[:depth]), []).append(m)
     for members in leaves.values():
         templates = []
         for m in members:
-            tokens = m.split(b" ")
-            best, most = None, similarity * len(tokens) - 1e-9
+            best, most = None, similarity * len(m) - 1e-9
             for t in templates:
-                if (same := sum(a == b for a, b in zip(t[0], tokens))) > most:
+                pairs = list(zip(t[0], m))
+                if any(a == b != b"<*>" for a, b in pairs) and (same := sum(a == b for a, b in pairs)) > most:
                     best, most = t, same
             if best is None:
-                templates.append([tokens, [m]])
+                templates.append([m, [m]])
             else:
-                best[0] = [a if a == b else b"<*>" for a, b in zip(best[0], tokens)]
+                best[0] = tuple(a if a == b else b"<*>" for a, b in zip(best[0], m))
                 best[1].append(m)
         for _, group in templates:
             docs = set().union(*(lines[m] for m in group))
             if len(docs) >= min_docs:
                 drop.update((m, min(docs)) for m in group)
-    return {d: None if t is None else b"\n".join(x for x in t.encode().split(b"\n") if drop.get(line_templates.masked(x), d) == d).decode() for d, t in rows}
+    return {d: None if t is None else b"\n".join(x for x in t.encode().split(b"\n") if drop.get(plain_mask(x)[0], d) == d).decode() for d, t in rows}
+
+
+def test_numbers_and_dates_are_content(spark):
+    rows = [(k, f"{k} {k * 3}\n2024-01-{k:02d}\n1 2 3 4 {k}\n7 apples 8 9 {k}" if k % 2 else f"7 pears 8 9 {k}\n12 34") for k in range(1, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_lines(df, min_docs=2).collect()}
+    assert got == brute_lines(rows, min_docs=2)
+    for k in range(1, 13, 2):
+        assert got[k].startswith(f"{k} {k * 3}\n2024-01-{k:02d}\n1 2 3 4 {k}") and ("apples" in got[k]) == (k == 1)
+    assert ["12 34" in got[k] for k in range(2, 13, 2)] == [True] + [False] * 5 and "pears" in got[2]
+
+
+def test_random_lines_against_brute_force():
+    r = random.Random(3)
+    for trial in range(60):
+        words = [b"w%s" % (b"abcdefgh"[k : k + 1]) for k in range(r.choice([2, 3, 8]))] + [b"1", b"22"]
+        rows = [(k, "\n".join(" ".join(r.choice(words).decode() for _ in range(r.choice([1, 2, 5, 6, 11]))) for _ in range(6))) for k in range(30)]
+        lines = {}
+        for d, t in rows:
+            for x in t.encode().split(b"\n"):
+                lines.setdefault(line_templates.masked(x), set()).add(d)
+        drops = line_templates.resolve_lines({k: sorted(v)[:2] for k, v in lines.items()}, 2, 0.8, 2)
+        got = {d: "\n".join(x for x in t.split("\n") if drops.get(line_templates.masked(x.encode()), d) == d) for d, t in rows}
+        assert got == brute_lines(rows, min_docs=2)
+
+
+def test_a_crowded_leaf_takes_linear_time():
+    import time
+
+    r = random.Random(4)
+    took = []
+    for n in (5_000, 20_000):
+        lines = {b"a b " + b" ".join(b"x%s" % "".join(r.choices("abcdefghij", k=5)).encode() for _ in range(3)): [k] for k in range(n)}
+        began = time.process_time()
+        line_templates.resolve_lines(lines, 2, 0.8, 2)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
 
 
 @pytest.mark.parametrize("block_bytes", [3000, 6 << 20])
