@@ -7,7 +7,7 @@ import pytest
 from llm_cases import in_order
 
 import corpus_pipeline
-from periplus.llm import bitpack_ids, license_scan, mixing_pareto, packing_kk, quality_rules, tokens
+from periplus.llm import bitpack_ids, license_scan, license_texts, mixing_pareto, packing_kk, quality_rules, tokens
 
 
 def plain_ids(texts):
@@ -143,13 +143,17 @@ def test_quality_host_verdict(spark):
 
 
 def test_license_texts(spark):
-    notice = license_scan.TEMPLATES[2][1]
-    changed = notice.replace("free of charge", "free of any charge")
-    rows = [(1, notice), (2, "x " * 50 + changed.upper()), (3, "permission is hereby granted"), (4, "All rights reserved."), (5, "mit license mit license")]
+    notice = license_texts.MIT
+    changed = notice.replace("free of charge", "free of any charge").replace("liable", "held liable")
+    bsd = "x " * 70 + license_texts.BSD_3.replace("holders and contributors", "owners") + " y" * 300
+    rows = [(1, notice), (2, "x " * 50 + changed.upper()), (3, "permission is hereby granted"), (4, "All rights reserved."), (5, "mit license mit license"), (6, bsd), (7, notice + " z" * 40 + " " + license_texts.ZLIB)]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[k]["labels"] for k in range(1, 6)] == ["mit", "mit", "", "all-rights-reserved", "mit"]
+    assert [got[k]["labels"] for k in range(1, 8)] == ["mit", "mit", "", "", "mit", "bsd", "mit,zlib"]
     assert (got[5]["n_base"], got[5]["first_word"], got[5]["last_word"], got[5]["score"]) == (2, 0, 2, 1.0)
-    assert 0 < got[3]["score"] < 0.75 and got[2]["spans"][0]["low"] >= 50
+    assert 0 < got[3]["score"] < 0.75 and [(s["low"], s["high"]) for s in got[2]["spans"]] == [(50, 50 + len(changed.split()))]
+    assert {s["low"] for s in got[6]["spans"]} == {70} and all(200 < s["high"] - s["low"] < 230 or s["high"] - s["low"] > 150 for s in got[6]["spans"])
+    n = len(notice.split())
+    assert [(s["low"], s["label"]) for s in got[7]["spans"]] == [(0, "mit"), (n + 40, "zlib")]
 
 
 def test_mix_comes_near_its_targets(many):
@@ -164,6 +168,41 @@ def test_mix_comes_near_its_targets(many):
     assert sum(s[0]["target"] for s in by.values()) == pytest.approx(sum(r["size"] for r in rows))
 
 
+def test_inclusion_frequencies(spark):
+    """Sources of the same sizes stand for seeds: a document's frequency is its inclusion probability."""
+    rng = np.random.default_rng(6)
+    size = rng.integers(1, 400, 40)
+    rows = [(1000 * s + k, f"s{s:04d}", int(n)) for s in range(800) for k, n in enumerate(size)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    taken = np.zeros((800, 40))
+    for r in mixing_pareto.allocate(df, weights=(2, 1)).collect():
+        taken[int(r["source"][1:]), r["doc_id"] % 1000] = r["copies"]
+    n = size.sum()
+    f = 1000 * size // (size + n // 40)
+    mean = (f * size).sum() / n
+    for part, p in ((taken[::2] - 1, 1 / 3), (taken[1::2], 2 / 3)):
+        pi = p + p * (1 - p) * (f - mean) / 1000
+        assert set(np.unique(part)) == {0, 1} and np.ptp(pi) > 0.1
+        off = (part.mean(axis=0) - pi) / np.sqrt(pi * (1 - pi) / len(part))
+        assert abs(off).max() < 5 and np.corrcoef(part.mean(axis=0), pi)[0, 1] > 0.8
+        assert abs(part @ size - p * n).max() <= 400 / 2 + 1
+
+
+def test_mix_over_many_sources(spark):
+    """Targets of as many sources as hosts, against the rule itself."""
+    rng = np.random.default_rng(8)
+    own = {f"h{k:05d}": int(x) for k, x in enumerate(rng.pareto(0.7, 3000) * 10 + 1)}
+    df = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(own.items())] + [(-1, None, 50)], "doc_id long, source string, size long").repartition(8)
+    names, size = [*sorted(own), None], np.array([*(own[s] for s in sorted(own)), 50], float)
+    w = np.array([(5, 2, 1)[k % 3] for k in range(len(size))], float)
+    low, high = 0.0, 3 * size.max()
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if np.minimum(3 * size, w * level).sum() < size.sum() else (low, level)
+    got = {r["source"]: r["target"] for r in mixing_pareto.targets(df).collect()}
+    assert got == {s: pytest.approx(x, rel=1e-9) for s, x in zip(names, np.minimum(3 * size, w * low))}
+
+
 def test_pipeline_stages(spark, docs, nothing, many, small):
     for df in (many, docs, nothing):
         rows = df
