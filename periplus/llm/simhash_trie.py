@@ -11,6 +11,12 @@ no more links than it has members. Components over all tables follow by large-st
 
 A prefix with too many fingerprints is dealt to salts, and each pair of salts is a task.
 
+*Similar sets of shingles* (``wide``) differ in too many bits for one fingerprint and a small budget: at a Jaccard
+similarity of 0.8 about 10 of 64. So several independent fingerprints are taken of each document, a
+*table* each; a table's tries are cut by ``lead`` leading bits, which must agree, and joined within the largest
+budget at which a pair of unlike documents is linked with odds of at most ``FALSE``. As many tables are taken as the
+wanted recall needs; ``jaccard_groups`` verifies what they link.
+
 Edge cases: null, empty and blank texts have fingerprint zero; a text of one to three words is one
 shingle; repeated rows fall into one class; a null ``doc_id`` never names a component unless all its
 members are null; other columns are not read; an empty table gives an empty result.
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,16 @@ TASK_ROWS = 8192
 SALT_ROWS = 1 << 20
 #: Node pairs are expanded to row pairs below this many rows on either side.
 LEAF = 8
+#: Of several fingerprints: leading bits at least, rows that share them on average, odds of an unlike pair in a
+#: table, and share of the pairs of the wanted similarity that some table links.
+LEAD = 8
+PREFIX_ROWS = 2048
+FALSE = 1e-9
+RECALL = 0.995
+#: Hashes that are counted together, and numbers in a working array.
+SPAN = 1024
+CELLS = 1 << 18
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, 4096, dtype=np.uint64)
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -174,6 +191,30 @@ def blocks_for(budget: int) -> list[tuple[int, int]]:
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
 
+def join_tries(rows: DataFrame, leads: list[int], budget: int, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Links ``a, b`` between the nodes of ``block, prefix, turned, node``: a forest per block, prefix and pair of salts.
+
+    Linked are fingerprints ``turned`` of a block that agree in its first ``leads[block]`` bits and differ in at most
+    ``budget``. Equal ones are linked to one of them first.
+    """
+    counts = rows.groupBy("block", "prefix").count().withColumn("salts", F.ceil(F.col("count") / salt_rows).cast("int")).drop("count")
+    rows = rows.join(counts, ["block", "prefix"])
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    rows = rows.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rows = rows.select("block", "prefix", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "turned", "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        fps, own = group.column("turned").to_numpy().view(np.uint64), group.column("node").to_numpy()
+        by = np.lexsort((own, fps))
+        own = own[by]
+        fps, first, of = np.unique(fps[by], return_index=True, return_inverse=True)
+        hub = own[first][trie_links(fps, leads[group.column("block")[0].as_py()], budget)][of]
+        linked = hub != own
+        return pa.table({"a": own[linked], "b": hub[linked]})
+
+    return rows.groupBy("block", "prefix", "s1", "s2").applyInArrow(run, "a long, b long")
+
+
 def links(classes: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Links between distinct fingerprints (``fp``) within the budget: ``a, b``, a forest per task."""
     n = classes.count()
@@ -182,25 +223,87 @@ def links(classes: DataFrame, budget: int = BUDGET, task_rows: int = TASK_ROWS,
     cut = min(cut, min(w for _, w in blocks))
     u = F.col("fp")
     turned = [F.struct(F.lit(k).alias("block"), (F.shiftleft(u, at).bitwiseOR(F.shiftrightunsigned(u, 64 - at)) if at else u).alias("turned")) for k, (at, _) in enumerate(blocks)]
-    rows = classes.select("fp", F.explode(F.array(*turned)).alias("t")).select("fp", "t.block", "t.turned")
+    rows = classes.select("fp", F.explode(F.array(*turned)).alias("t")).select(F.col("fp").alias("node"), "t.block", "t.turned")
     rows = rows.withColumn("prefix", F.shiftrightunsigned(F.col("turned"), 64 - cut) if cut else F.lit(0).cast("long"))
-    counts = rows.groupBy("block", "prefix").count().withColumn("salts", F.ceil(F.col("count") / salt_rows).cast("int")).drop("count")
-    rows = rows.join(counts, ["block", "prefix"])
-    salt = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-    rows = rows.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rows = rows.select("block", "prefix", F.least("salt", "other").alias("s1"), F.greatest("salt", "other").alias("s2"), "turned", "fp")
+    return join_tries(rows, [w for _, w in blocks], budget, salt_rows)
 
-    def run(group: pa.Table) -> pa.Table:
-        lead = blocks[group.column("block")[0].as_py()][1]
-        fps = group.column("turned").to_numpy().view(np.uint64)
-        own = group.column("fp").to_numpy()
-        by = np.argsort(fps, kind="stable")
-        label = trie_links(fps[by], lead, budget)
-        own = own[by]
-        linked = label != np.arange(len(label))
-        return pa.table({"a": own[linked], "b": own[label[linked]]})
 
-    return rows.groupBy("block", "prefix", "s1", "s2").applyInArrow(run, "a long, b long")
+# -- several fingerprints of a set of shingles -----------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Wide:
+    """How many fingerprints are taken, how many leading bits must agree and how many others may differ."""
+
+    tables: int
+    lead: int
+    budget: int
+
+
+def wide(rows: int, similarity: float, recall: float = RECALL) -> Wide:
+    """What ``rows`` documents need for the recall of pairs of a Jaccard similarity.
+
+    A bit of two sets differs with odds of the angle between them, whose cosine is 2 s / (1 + s) for sets of one size.
+    """
+    lead = max(LEAD, math.ceil(math.log2(max(rows, 1) / PREFIX_ROWS)))
+    rest, p = 64 - lead, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    budget, unlike, near = -1, 0.0, 0.0
+    while (unlike := unlike + math.comb(rest, budget + 1) / 2.0**64) <= FALSE:
+        budget += 1
+        near += math.comb(rest, budget) * p**budget * (1 - p) ** (rest - budget)
+    near *= (1 - p) ** lead
+    return Wide(max(1, math.ceil(math.log(1 - recall) / math.log(1 - near))), lead, budget)
+
+
+def wide_prints(sets: list[np.ndarray], tables: int) -> np.ndarray:
+    """Fingerprints of sets of 64-bit hashes, ``tables`` each: a bit is 1 if set in over half of the table's hashes.
+
+    Bits are counted in vertical counters: 64 at once, by adding pairs of numbers whose digits are bit planes.
+    """
+    out = np.zeros((len(sets), tables), np.uint64)
+    for low in range(0, len(sets), 256):
+        part = sets[low : low + 256]
+        sizes = np.array([len(s) for s in part])
+        counts = np.zeros((len(part), tables, 64), np.int32)
+        spans = [(k, a, min(a + SPAN, n)) for k, n in enumerate(sizes.tolist()) for a in range(0, n, SPAN)]
+        by_width: dict[int, list[tuple[int, int, int]]] = {}
+        for k, a, e in spans:
+            by_width.setdefault(1 << (e - a - 1).bit_length(), []).append((k, a, e))
+        for width, some in by_width.items():
+            step = max(1, CELLS // (width * tables))
+            for at in range(0, len(some), step):
+                chunk = some[at : at + step]
+                h, filled = np.zeros((len(chunk), width, 1), np.uint64), np.zeros((len(chunk), width, 1), np.uint64)
+                for j, (k, a, e) in enumerate(chunk):
+                    h[j, : e - a, 0] = part[k][a:e]
+                    filled[j, : e - a] = ~np.uint64(0)
+                planes = [C.mix64(h ^ SALTS[:tables]) & filled]
+                while (half := planes[0].shape[1] // 2) > 0:
+                    carry, summed = None, []
+                    for x in planes:
+                        a, b = x[:, :half], x[:, half:]
+                        s, c = a ^ b, a & b
+                        if carry is not None:
+                            c |= s & carry
+                            s ^= carry
+                        summed.append(s)
+                        carry = c
+                    planes = [*summed, carry]
+                total = np.zeros((len(chunk), tables, 64), np.int32)
+                for j, x in enumerate(planes):
+                    bits = np.unpackbits(np.ascontiguousarray(x[:, 0]).astype("<u8").view(np.uint8).reshape(len(chunk), tables, 8), axis=2, bitorder="little")
+                    total += bits.astype(np.int32) << j
+                np.add.at(counts, np.array([k for k, _, _ in chunk]), total)
+        ones = counts * 2 > sizes[:, None, None]
+        out[low : low + 256] = np.packbits(ones, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return out
+
+
+def wide_links(classes: DataFrame, shape: Wide, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Links ``a, b`` between classes (``key``, ``prints`` a fingerprint per table): a forest per task."""
+    rows = classes.select(F.col("key").alias("node"), F.posexplode("prints").alias("block", "turned"))
+    rows = rows.withColumn("prefix", F.shiftrightunsigned(F.col("turned"), 64 - shape.lead))
+    return join_tries(rows, [shape.lead] * shape.tables, shape.budget, salt_rows)
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
