@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; set here only where it is unset and all runs in one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"/tmp/checkpoints/{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

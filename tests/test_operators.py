@@ -170,3 +170,24 @@ def test_files(spark, tmp_path):
     cells = Grid(0.0, 0.0, 1.0, 1.0, 0.5, 0.5).cells(spark)
     ais.write_grid(cells, str(tmp_path / "g"))
     assert ais.read_grid(spark, str(tmp_path / "g")).exceptAll(cells).count() == 0
+
+
+def test_neighbours_in_the_far_north(spark):
+    """Reports at 85 degrees and near the pole: as many pairs as brute force finds."""
+    import math
+
+    def km(a, b):
+        (x, y), (u, v) = (map(math.radians, p) for p in (a, b))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(h))
+
+    for lat, step in ((85.0, 0.02), (89.95, 4.0)):
+        places = [(10 + k * step, lat) for k in range(8)]
+        rows = [("a", k, x, y, 10.0, 90.0) for k, (x, y) in enumerate(places)]
+        df = spark.createDataFrame(rows, "itinerary string, row_id long, lon double, lat double, speed double, cog double")
+        d = 1.01 * km(places[0], places[2])
+        near = {k: sum(km(p, q) <= d for q in places) for k, p in enumerate(places)}
+        for keys in (["itinerary"], []):
+            got = {r["row_id"] for r in clustering.trajectories(df, keys, 5, None, d, 1.0, 1.0).collect()}
+            core = {k for k, n in near.items() if n >= 5}
+            assert core and got == {k for k in near if any(km(places[k], places[c]) <= d for c in core)}
