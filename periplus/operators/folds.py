@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from periplus.functions import polygons
 from periplus.operators import spatial_join
+from periplus.operators.materialize import written
 
 
 def split(itineraries: DataFrame, folds: int = 10, seed: int = 7) -> DataFrame:
@@ -29,11 +30,11 @@ def accuracy(positions: DataFrame, hulls: DataFrame, folds: DataFrame, n: int =
     for all folds but its own, so no fold is computed on its own.
     """
     own = positions.join(folds, "itinerary").select("row_id", "lon", "lat", "fold")
-    shapes = hulls.join(folds.withColumnRenamed("fold", "hull_fold"), "itinerary").select("hull_fold", "ring")
-    index = spatial_join.cell_cover(shapes)
+    shapes = written(hulls.join(folds.withColumnRenamed("fold", "hull_fold"), "itinerary").select("hull_fold", "ring"), "shapes")
+    index = spatial_join.placed(spatial_join.cell_index(shapes), spatial_join.index_bytes(shapes))
     grid = spatial_join.MEDITERRANEAN
     at = own.withColumn("cell_id", grid.cell_id(F.col("lon"), F.col("lat")))
-    hit = at.join(spatial_join.broadcast_if_small(index), "cell_id").where((F.col("fold") != F.col("hull_fold")) & polygons.contains(F.col("ring"), F.col("lon"), F.col("lat")))
+    hit = at.join(index, "cell_id").where((F.col("fold") != F.col("hull_fold")) & polygons.contains(F.col("ring"), F.col("lon"), F.col("lat")))
     hit = hit.select("row_id").distinct().withColumn("hit", F.lit(1.0))
     per = own.join(hit, "row_id", "left").groupBy("fold").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("accuracy"))
     per = per.withColumn("std", F.lit(None).cast("double"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from periplus.functions import geo
 from periplus.operators import filters, spatial_join
+from periplus.sources.ais import wall_clock
 
 STEP_SECONDS = 180
 
@@ -40,7 +41,7 @@ def interpolated(voyages: DataFrame, ports: DataFrame, step: int = STEP_SECONDS,
     f = f.withColumn("cog", geo.truncated("bearing")).withColumn("heading", F.col("cog")).withColumn("speed", geo.truncated("knots", 1))
     f = f.withColumn("lon", F.col("lon_k")).withColumn("lat", F.col("lat_k")).withColumn("seconds", (F.col("seconds") + F.col("k") * step).cast("bigint"))
     if "timestamp" in voyages.columns:
-        f = f.withColumn("timestamp", F.date_format(F.timestamp_seconds("seconds"), "yyyy-MM-dd HH:mm:ss"))
+        f = f.withColumn("timestamp", wall_clock(F.col("seconds")))
     f = f.select(*voyages.columns, "k", "knots", "bearing")
     return spatial_join.outside(f, ports)
 

@@ -11,7 +11,7 @@ from periplus.functions import geo, polygons
 from periplus.functions.grid import MEDITERRANEAN, PORTS
 from periplus.operators import clustering, filters, folds, hulls, interpolation, partitioning, spatial_join, statistics, voyages
 from periplus.operators.materialize import work_dir, written
-from periplus.plans import oracles
+from periplus.plans import files, oracles
 from periplus.sources import fixture
 
 #: Step of ``interpolate`` and ``interpolate_fill``, in seconds; the queries named ``_180s`` use the operator's default.
@@ -36,7 +36,7 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lagged(df: DataFrame) -> DataFrame:
     order = Window.partitionBy("mmsi").orderBy("seconds", "row_id")
-    for c in ("lon", "lat", "cog", "seconds"):
+    for c in ("lon", "lat", "cog", "speed", "seconds"):
         df = df.withColumn(f"p_{c}", F.lag(c).over(order))
     return df.where(F.col("p_seconds").isNotNull())
 
@@ -140,6 +140,12 @@ def implied_speed(spark, sf):
     return rows.select("row_id", _r(geo.implied_knots(geo.haversine_km("p_lon", "p_lat", "lon", "lat"), F.col("seconds") - F.col("p_seconds"))).alias("knots"))
 
 
+def similar_steps(spark, sf):
+    """Whether a report is similar to the one before it (0) or not (1), with its parts."""
+    apart = geo.ais_similarity("p_lon", "p_lat", "p_speed", "p_cog", "lon", "lat", "speed", "cog", 20.0, 12.0, 90.0)
+    return _lagged(_ais(spark, sf)).select("row_id", apart.alias("apart"), _r(geo.longitude_difference("p_lon", "lon")).alias("lon_apart"), geo.truncated("speed").alias("whole_knots"))
+
+
 def lagrange3(spark, sf):
     order = Window.partitionBy("mmsi").orderBy("seconds", "row_id")
     rows = _ais(spark, sf)
@@ -333,8 +339,9 @@ def itinerary_clusters(spark, sf):
     found = clustering.trajectories(_voyages(spark, sf), ["itinerary"], 5, None, 10.0, 20.0, 90.0)
     good = written(clustering.several_voyages(found, ["itinerary", "cluster_id"], 10), "itinerary-clusters")
     shape = hulls.convex(good, ["itinerary", "cluster_id"]).select("itinerary", "cluster_id", polygons.format_wkt(F.col("ring")).alias("polygon"))
-    stats = statistics.cluster_statistics(good, ["itinerary", "cluster_id"])
-    return stats.join(shape, ["itinerary", "cluster_id"])
+    stats = statistics.cluster_statistics(good, ["itinerary", "cluster_id"]).join(shape, ["itinerary", "cluster_id"])
+    means = [_r(c).alias(c) for c in ("avg_cog", "avg_speed", "speed_deviation", "cog_deviation")]
+    return stats.select("itinerary", "cluster_id", "start_lon", "start_lat", "end_lon", "end_lat", *means, "polygon")
 
 
 def convex_hull_vertices(spark, sf):
@@ -362,28 +369,38 @@ def kfold_rows(spark, sf):
     return folds.rows(folds.split(_voyages(spark, sf)))
 
 
+def _accuracy(positions, shapes):
+    out = folds.accuracy(positions, shapes, folds.split(positions))
+    return out.select("fold", _r("accuracy").alias("accuracy"), _r("std").alias("std"))
+
+
 def hull_accuracy(spark, sf):
-    """Boxes of ports as hulls of their itineraries, over all positions."""
+    """Convex hulls of itineraries, over all positions."""
+    v = written(_voyages(spark, sf), "voyages")
+    return _accuracy(v, hulls.convex(v, ["itinerary"]))
+
+
+def box_accuracy(spark, sf):
+    """The same with the itineraries' boxes."""
     v = written(_voyages(spark, sf), "voyages")
     shapes = v.groupBy("itinerary").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
     p = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
     shapes = shapes.select("itinerary", F.array(p("w", "s"), p("e", "s"), p("e", "n"), p("w", "n"), p("w", "s")).alias("ring"))
-    out = folds.accuracy(v, shapes, folds.split(v))
-    return out.select("fold", _r("accuracy").alias("accuracy"), _r("std").alias("std"))
+    return _accuracy(v, shapes)
 
 
 NAMES = (
     "ais_positions cell_assign grid_cells format_wkt parse_wkt polygon_area stopped_filter shiptype_filter first_per_cell_vessel unique_coords "
-    "haversine_steps heading_diff turning_points dead_reckoning to_cartesian to_geodetic euclidean bearing implied_speed lagrange3 "
+    "haversine_steps heading_diff turning_points dead_reckoning to_cartesian to_geodetic euclidean bearing implied_speed similar_steps lagrange3 "
     "pip_waypoint_lookup pip_semi pip_anti gap_flags voyage_positions voyage_segments voyage_summary voyages_stream interpolate interpolate_fill interpolate_180s interpolate_fill_180s "
     "cell_stats step_distance_stats cluster_stats_quadrant cluster_endpoints circular_stats vessel_voyage_counts key_counts balanced_partition "
     "dbscan_labels waypoints waypoint_hulls traj_clusters route_clusters hull_features hull_rows itinerary_clusters convex_hull_vertices hull_bounds concave_hull "
-    "kfold_split kfold_rows hull_accuracy"
+    "kfold_split kfold_rows hull_accuracy box_accuracy"
 ).split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in NAMES}
+    return {name: globals()[name] for name in NAMES} | {name: getattr(files, name) for name in files.NAMES}
 
 
 def oracle_sql() -> dict[str, str]:

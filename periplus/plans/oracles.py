@@ -26,7 +26,7 @@ crossings AS (SELECT a.row_id, e.id, count(*) FILTER (WHERE ((y1 <= a.lat AND a.
 port_of AS (SELECT a.*, p.port FROM ais a LEFT JOIN (SELECT row_id, min(id) AS port FROM crossings WHERE c % 2 = 1 GROUP BY row_id) p USING (row_id))"""
 
 TRACK = "PARTITION BY mmsi ORDER BY seconds, row_id"
-LAGGED = f"""lagged AS (SELECT * FROM (SELECT *, lag(lon) OVER o AS p_lon, lag(lat) OVER o AS p_lat, lag(cog) OVER o AS p_cog, lag(seconds) OVER o AS p_seconds FROM ais WINDOW o AS ({TRACK})) WHERE p_seconds IS NOT NULL)"""
+LAGGED = f"""lagged AS (SELECT * FROM (SELECT *, lag(lon) OVER o AS p_lon, lag(lat) OVER o AS p_lat, lag(cog) OVER o AS p_cog, lag(speed) OVER o AS p_speed, lag(seconds) OVER o AS p_seconds FROM ais WINDOW o AS ({TRACK})) WHERE p_seconds IS NOT NULL)"""
 
 SEGMENTS = f"""
 gaps AS (SELECT *, coalesce(seconds - lag(seconds) OVER ({TRACK}), 0) AS since FROM port_of),
@@ -99,6 +99,34 @@ STOPS = f"stops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cel
 STEPS = f"steps AS (SELECT *, {km('lag(lon) OVER o', 'lag(lat) OVER o', 'lon', 'lat')} AS d FROM cells WINDOW o AS (PARTITION BY itinerary, cell_id ORDER BY voyage_id, seconds, row_id))"
 
 
+def hull(points: str, keys: str) -> str:
+    """CTEs of convex hulls per ``keys`` (no nulls) of points in hundredths of a degree: ``hull_edge``, ``hull_ring`` and ``hull_text``.
+
+    An edge is a pair of points with no point on its right, nor beyond it on its line. Only the outer points of each latitude can be corners.
+    """
+    k = [c.strip() for c in keys.split(",")]
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in k)
+    of = lambda a: ", ".join(f"{a}.{c}" for c in k)
+    side = "((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))"
+    beyond = "((p.x - r.x) * (q.x - r.x) + (p.y - r.y) * (q.y - r.y))"
+    return f"""
+hull_all AS (SELECT DISTINCT {keys}, CAST(round(lon * 100) AS BIGINT) AS x, CAST(round(lat * 100) AS BIGINT) AS y FROM {points}),
+hull_outer AS (SELECT {keys}, x, y FROM (SELECT *, min(x) OVER (PARTITION BY {keys}, y) AS lo, max(x) OVER (PARTITION BY {keys}, y) AS hi FROM hull_all) WHERE x IN (lo, hi)),
+hull_pair AS (SELECT {of("p")}, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM hull_outer p JOIN hull_outer q ON {same("p", "q")} AND (p.x <> q.x OR p.y <> q.y) JOIN hull_outer r ON {same("p", "r")}
+  GROUP BY ALL HAVING count(*) FILTER (WHERE {side} < 0 OR ({side} = 0 AND {beyond} > 0)) = 0
+  UNION ALL SELECT {keys}, x, y, x, y FROM (SELECT *, count(*) OVER (PARTITION BY {keys}) AS c FROM hull_all) WHERE c = 1),
+hull_step AS (SELECT *, CASE WHEN qx > px OR (qx = px AND qy > py) THEN 1 ELSE -1 END AS way FROM hull_pair),
+hull_place AS (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY way DESC, way * px, way * py) - 1 AS INTEGER) AS place, CAST(count(*) OVER (PARTITION BY {keys}) AS INTEGER) AS corners FROM hull_step),
+hull_edge AS (SELECT {keys}, px / 100.0::DOUBLE AS x1, py / 100.0::DOUBLE AS y1, qx / 100.0::DOUBLE AS x2, qy / 100.0::DOUBLE AS y2, place, corners FROM hull_place),
+hull_ring AS (SELECT {keys}, place, x1 AS lon, y1 AS lat FROM hull_edge UNION ALL SELECT {keys}, corners, x1, y1 FROM hull_edge WHERE place = 0),
+hull_text AS (SELECT {keys}, 'POLYGON ((' || string_agg(CAST(lon AS VARCHAR) || ' ' || CAST(lat AS VARCHAR), ', ' ORDER BY place) || '))' AS polygon FROM hull_ring GROUP BY {keys})"""
+
+
+def quadrant(points: str, keys: str) -> str:
+    """CTEs of cluster statistics: means, and start and end by the quadrant of the mean course."""
+    return QUADRANT.replace("SELECT itinerary,", f"SELECT {keys},").replace("FROM voyages GROUP BY itinerary", f"FROM {points} GROUP BY {keys}")
+
+
 def new_points(step: int) -> tuple[str, str]:
     """CTEs of the points that interpolation sets every ``step`` seconds."""
     frames = f"""
@@ -122,6 +150,12 @@ stats AS (SELECT itinerary, CASE WHEN q <= 2 THEN w ELSE e END AS start_lon, CAS
   round(c, 6) + 0.0 AS avg_cog, round(sp, 6) + 0.0 AS avg_speed, round(sd, 6) + 0.0 AS speed_deviation, round(cd, 6) + 0.0 AS cog_deviation FROM q)"""
 
 
+CLOCK = "strftime(make_timestamp(seconds * 1000000), '%Y-%m-%d %H:%M:%S')"
+#: Raw reports as they are read: unknown numbers -1, unknown headings 0, missing notes NULL.
+READ = f"""SELECT mmsi, CASE WHEN row_id % 3 = 0 THEN -1 ELSE row_id END AS imo, lat, lon, cog, CASE WHEN row_id % 5 = 0 THEN 0.0::DOUBLE ELSE cog END AS heading, round(speed, 6) + 0.0 AS speed, seconds, {CLOCK} AS timestamp,
+  'VESSEL ' || mmsi AS shipname, ship_type, 'bound, ' || row_id AS destination, CASE WHEN row_id % 7 = 0 THEN 'NULL' ELSE 'note' END AS annotation FROM ais"""
+
+
 def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(p.strip() for p in parts) + "\n"
 
@@ -144,6 +178,13 @@ limited AS (SELECT c.*, d, s, h FROM cells c JOIN limits USING (itinerary, cell_
     similar = f"round({km('l.lon', 'l.lat', 'r.lon', 'r.lat')}, 6) <= l.d AND round(abs(l.speed - r.speed), 6) <= l.s AND {turn('l.cog', 'r.cog')} <= l.h"
     traj = more(CELLS, limits, labels("limited", similar, 3, "l.itinerary = r.itinerary AND l.cell_id = r.cell_id AND"), recursive=True)
     route_near = f"round({km('l.lon', 'l.lat', 'r.lon', 'r.lat')}, 6) <= 5.0 AND round(abs(l.speed - r.speed), 6) <= 10.0 AND {turn('l.cog', 'r.cog')} <= 60.0"
+    near_in_itinerary = f"round({km('l.lon', 'l.lat', 'r.lon', 'r.lat')}, 6) <= 10.0 AND round(abs(l.speed - r.speed), 6) <= 20.0 AND {turn('l.cog', 'r.cog')} <= 90.0"
+    in_itinerary = more(labels("voyages", near_in_itinerary, 5, "l.itinerary = r.itinerary AND"), """members AS (SELECT v.*, cluster_id FROM labelled JOIN voyages v USING (row_id)),
+good AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY itinerary, cluster_id) AS members FROM members) WHERE members > 10 AND (itinerary, cluster_id) IN (SELECT (itinerary, cluster_id) FROM members GROUP BY itinerary, cluster_id HAVING count(DISTINCT voyage_id) > 1))""",
+        quadrant("good", "itinerary, cluster_id"), hull("good", "itinerary, cluster_id"), recursive=True)
+    good_cells = f"""members AS (SELECT c.*, cluster_id FROM labelled JOIN cells c USING (row_id)),
+good AS (SELECT * FROM members WHERE cluster_id IN (SELECT cluster_id FROM members GROUP BY cluster_id HAVING count(DISTINCT voyage_id) > 1)),
+features AS (SELECT cluster_id, itinerary, cell_id, {spread('cog', 'heading')}, {spread('speed', 'speed')} FROM good GROUP BY cluster_id, itinerary, cell_id)"""
     ports_n = PORTS.replace("AS n FROM lanes", "AS n_ FROM lanes").replace("s, s, n, n, s", "s, s, n_, n_, s")
     filled, filled_180 = (_with(AIS, ports_n, PORT_OF, SEGMENTS, VOYAGES, *new_points(step)) for step in (3600, 180))
     return {
@@ -166,6 +207,7 @@ limited AS (SELECT c.*, d, s, h FROM cells c JOIN limits USING (itinerary, cell_
         "euclidean": lagged + f"SELECT row_id, round(sqrt({' + '.join(diff)}), 6) + 0.0 AS chord_km, round(sqrt({' + '.join(diff[:2])}) / 1000, 6) + 0.0 AS planar FROM lagged",
         "bearing": lagged + f"SELECT row_id, round({bearing('p_lon', 'p_lat', 'lon', 'lat')}, 6) + 0.0 AS degrees, round({bearing('p_lon', 'p_lat', 'lon', 'lat', False)}, 6) + 0.0 AS unsigned FROM lagged",
         "implied_speed": lagged + f"SELECT row_id, round({steps} * 3600.0 / nullif(seconds - p_seconds, 0) / 1.852, 6) + 0.0 AS knots FROM lagged",
+        "similar_steps": lagged + f"SELECT row_id, CASE WHEN {steps} <= 20.0 AND abs(p_speed - speed) <= 12.0 AND {turn('p_cog', 'cog')} <= 90.0 THEN 0.0 ELSE 1.0 END::DOUBLE AS apart, round(abs(p_lon - lon), 6) + 0.0 AS lon_apart, trunc(speed) AS whole_knots FROM lagged",
         "lagrange3": _with(AIS, f"f AS (SELECT row_id, lag(lon) OVER o AS lon1, lag(lat) OVER o AS lat1, lon, lat, lead(lon) OVER o AS lon3, lead(lat) OVER o AS lat3 FROM ais WINDOW o AS ({TRACK}))") + f"SELECT row_id, {lagrange('((lon + lon3) / 2)')} AS lat_mid FROM f WHERE lon1 <> lon AND lon <> lon3 AND lon1 <> lon3",
         "pip_waypoint_lookup": port + "SELECT row_id, port FROM port_of",
         "pip_semi": port + "SELECT row_id, mmsi FROM port_of WHERE port IS NOT NULL",
@@ -192,10 +234,29 @@ limited AS (SELECT c.*, d, s, h FROM cells c JOIN limits USING (itinerary, cell_
         "traj_clusters": traj + "SELECT row_id, itinerary, cell_id, cluster_id FROM labelled JOIN cells USING (row_id)",
         "route_clusters": more(labels("voyages", route_near, 5), recursive=True) + "SELECT row_id, cluster_id FROM labelled",
         "hull_features": traj + f"SELECT cluster_id, itinerary, cell_id, {spread('cog', 'heading')}, {spread('speed', 'speed')} FROM labelled JOIN cells USING (row_id) GROUP BY cluster_id, itinerary, cell_id HAVING count(DISTINCT voyage_id) > 1",
+        "waypoint_hulls": _with(AIS, STOPS, labels("stops", geo_near, 3), "found AS (SELECT s.*, cluster_id FROM labelled JOIN stops s USING (row_id))", hull("found", "cluster_id"), recursive=True) + "SELECT * FROM hull_text",
+        "hull_rows": more(CELLS, limits, labels("limited", similar, 3, "l.itinerary = r.itinerary AND l.cell_id = r.cell_id AND"), good_cells, hull("good", "cluster_id"), recursive=True) + "SELECT * FROM features JOIN hull_text USING (cluster_id)",
+        "itinerary_clusters": in_itinerary + "SELECT * FROM stats JOIN hull_text USING (itinerary, cluster_id)",
+        "convex_hull_vertices": more(hull("voyages", "itinerary")) + "SELECT itinerary, CAST(count(*) AS INTEGER) AS points, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, any_value(polygon) AS polygon FROM hull_ring JOIN hull_text USING (itinerary) GROUP BY itinerary",
+        "positions_file": ais + READ,
+        "positions_file_stream": ais + READ,
+        "voyages_file": voy + "SELECT voyage_id, itinerary, mmsi, seconds, lon, lat, cog, cog AS heading, speed FROM voyages",
+        "ports_file": _with(PORTS) + "SELECT id, place, lon, lat FROM corners",
+        "hulls_file": more(hull("voyages", "itinerary")) + "SELECT 'hull ' || itinerary AS id, itinerary, place, lon, lat FROM hull_ring",
+        "grid_file": "SELECT r * 231 + c + 1 AS cell_id, round((-8000000 + c * 200000) / 1e6, 2) AS lon, round((29000000 + r * 200000) / 1e6, 2) AS lat FROM range(91) a(r), range(231) b(c)",
+        "wkt_file": _with(PORTS) + f"SELECT '\"' || {wkt} || '\"' AS line, any_value(round((ea - w) * (n - s), 6)) AS area FROM corners JOIN ports USING (id) GROUP BY id",
+        "cell_members_file": more(CELLS) + f"SELECT voyage_id, cell_id, lon, lat, {CLOCK} AS timestamp FROM cells",
+        "cell_stats_file": more(CELLS) + f"SELECT itinerary || '-' || cell_id AS key, itinerary, cell_id, {spread('cog', 'heading')}, {spread('speed', 'speed')} FROM cells GROUP BY itinerary, cell_id",
         "hull_bounds": voy + "SELECT itinerary, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM voyages GROUP BY itinerary",
         "kfold_split": more(FOLDS) + "SELECT * FROM folds",
         "kfold_rows": more(FOLDS) + "SELECT CAST(f AS INTEGER) AS fold, CASE WHEN f = fold THEN 'TEST' ELSE 'TRAIN' END AS type, itinerary FROM folds, range(10) t(f)",
-        "hull_accuracy": more(FOLDS, """
+        "hull_accuracy": more(FOLDS, hull("voyages", "itinerary"), """
+hull_box AS (SELECT h.itinerary, fold, min(lon) AS bw, max(lon) AS be, min(lat) AS bs, max(lat) AS bn FROM hull_ring h JOIN folds USING (itinerary) GROUP BY h.itinerary, fold),
+own AS (SELECT row_id, lon, lat, fold FROM voyages JOIN folds USING (itinerary)),
+inside AS (SELECT DISTINCT row_id FROM (SELECT o.row_id, b.itinerary FROM own o JOIN hull_box b ON b.fold <> o.fold AND o.lon BETWEEN bw AND be AND o.lat BETWEEN bs AND bn JOIN hull_edge e ON e.itinerary = b.itinerary GROUP BY o.row_id, b.itinerary
+  HAVING count(*) FILTER (WHERE ((y1 <= o.lat AND o.lat < y2) OR (y2 <= o.lat AND o.lat < y1)) AND o.lon < (x2 - x1) * (o.lat - y1) / (y2 - y1) + x1) % 2 = 1)),
+per AS (SELECT fold, avg(CASE WHEN i.row_id IS NULL THEN 0.0 ELSE 1.0 END) AS accuracy FROM own LEFT JOIN inside i USING (row_id) GROUP BY fold)""") + "SELECT fold, round(accuracy, 6) + 0.0 AS accuracy, CAST(NULL AS DOUBLE) AS std FROM per UNION ALL SELECT -1, round(avg(accuracy), 6) + 0.0, round(stddev_pop(accuracy), 6) + 0.0 FROM per",
+        "box_accuracy": more(FOLDS, """
 hull AS (SELECT fold, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM voyages JOIN folds USING (itinerary) GROUP BY itinerary, fold),
 hit AS (SELECT v.row_id, f.fold, max(CAST(h.fold IS NOT NULL AS INTEGER)) AS hit FROM voyages v JOIN folds f USING (itinerary) LEFT JOIN hull h ON h.fold <> f.fold AND v.lon >= w AND v.lon < e AND v.lat >= s AND v.lat < n GROUP BY v.row_id, f.fold),
 per AS (SELECT fold, avg(hit) AS accuracy FROM hit GROUP BY fold)""") + "SELECT fold, round(accuracy, 6) + 0.0 AS accuracy, CAST(NULL AS DOUBLE) AS std FROM per UNION ALL SELECT -1, round(avg(accuracy), 6) + 0.0, round(stddev_pop(accuracy), 6) + 0.0 FROM per",

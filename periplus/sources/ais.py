@@ -21,6 +21,11 @@ def epoch_seconds(column: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
 
 
+def wall_clock(seconds: Column) -> Column:
+    """Text of epoch seconds in the files' format, as UTC whatever the session's zone is."""
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).cast("string")
+
+
 def positions(raw: DataFrame, rounded: bool = False) -> DataFrame:
     """Typed reports: NULL rules, tenths of a knot to knots, epoch seconds.
 

@@ -76,6 +76,22 @@ def test_point_in_polygon_joins(spark):
     assert compat[7] == 1 and compat[1] is None and compat[2] is None
 
 
+def test_large_covers_are_not_broadcast(spark, monkeypatch):
+    """Few shapes over many cells: the index counts, not the shapes; both joins find the same."""
+    wide = "POLYGON ((-7.5 29.5, 37.5 29.5, 37.5 46.5, -7.5 46.5, -7.5 29.5))"
+    shapes = spark.createDataFrame([(k, wide) for k in range(8)], "id int, wkt string").select("id", polygons.parse_wkt(F.col("wkt")).alias("ring"))
+    assert spatial_join.index_bytes(shapes) == spatial_join.cell_index(shapes).count() * (5 * 16 + 32) > spatial_join.BROADCAST_BYTES
+    points = spark.createDataFrame([(1, 5.5, 35.5), (2, 50.0, 31.0), (3, None, 1.0)], "row_id long, lon double, lat double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(spatial_join.lookup(points, shapes)) and "BroadcastHashJoin" not in plan(spatial_join.matches(points, shapes, "row_id"))
+    one = shapes.where("id < 1")
+    assert "BroadcastHashJoin" in plan(spatial_join.lookup(points, one))
+    small = {r["row_id"]: r["port"] for r in spatial_join.lookup(points, one).collect()}
+    monkeypatch.setattr(spatial_join, "BROADCAST_BYTES", 0)
+    assert {r["row_id"]: r["port"] for r in spatial_join.lookup(points, one).collect()} == small == {1: 0, 2: None, 3: None}
+    assert spatial_join.index_bytes(shapes.limit(0)) == 0
+
+
 def voyage(spark, points):
     return spark.createDataFrame([("v", "1_to_2", 1, k, t, float(x), float(y)) for k, (t, x, y) in enumerate(points)], "voyage_id string, itinerary string, mmsi int, row_id long, seconds long, lon double, lat double")
 

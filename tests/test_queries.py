@@ -23,7 +23,7 @@ def duck(small):
 
 
 #: Iterative or streaming ones take several jobs each; two of them stand for all here.
-FEW = [n for n in catalogue.NAMES if n in catalogue.oracle_sql() and n not in ("hull_features", "route_clusters", "waypoints", "to_geodetic", "pip_semi", "voyage_positions")]
+FEW = [n for n in catalogue.queries() if n in catalogue.oracle_sql() and n not in ("hull_features", "route_clusters", "waypoints", "to_geodetic", "pip_semi", "voyage_positions")]
 
 
 @pytest.mark.parametrize("name", FEW)
