@@ -21,6 +21,26 @@ def haversine_km(lon1, lat1, lon2, lat2) -> Column:
     return F.lit(EARTH_KM) * (2 * F.atan2(F.sqrt(a), F.sqrt(1 - a)))
 
 
+#: WGS84: equatorial radius in metres and flattening.
+WGS84_METRES, WGS84_FLATTENING = 6378137.0, 1 / 298.257223563
+
+
+def spheroid_metres(lon1, lat1, lon2, lat2) -> Column:
+    """Distance on the WGS84 spheroid by Lambert's formula: a great circle between reduced latitudes, with the flattening's first-order term.
+
+    A hundred-thousandth of the distance is its error at most, for points that are not nearly opposite each other.
+    """
+    f = WGS84_FLATTENING
+    lon1, lat1, lon2, lat2 = (F.radians(_c(x)) for x in (lon1, lat1, lon2, lat2))
+    b1, b2 = F.atan((1 - f) * F.tan(lat1)), F.atan((1 - f) * F.tan(lat2))
+    h = F.pow(F.sin((b2 - b1) / 2), F.lit(2.0)) + F.cos(b1) * F.cos(b2) * F.pow(F.sin((lon2 - lon1) / 2), F.lit(2.0))
+    angle = 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (angle - F.sin(angle)) * F.try_divide(F.pow(F.sin(p) * F.cos(q), F.lit(2.0)), 1 - h)
+    y = (angle + F.sin(angle)) * F.try_divide(F.pow(F.cos(p) * F.sin(q), F.lit(2.0)), h)
+    return F.when(h == 0, 0.0).otherwise(WGS84_METRES * (angle - f / 2 * (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))))
+
+
 def heading_difference(a, b) -> Column:
     """Circular difference of two headings in degrees, 0 to 180."""
     a, b = _c(a), _c(b)

@@ -17,6 +17,8 @@ from periplus.operators.materialize import written
 
 #: Kilometres in a degree of latitude on the sphere, rounded down so that buckets are never too small.
 KM_DEGREE = 111.19
+#: The least on the spheroid (a degree of latitude at the equator), rounded down.
+KM_DEGREE_SPHEROID = 110.57
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,14 +68,18 @@ def _buckets(df: DataFrame, keys: list[str], lat_step: Column, lon_step: Column,
     return left.join(right, [*keys, "_x", "_y"]).where((F.col("l_row_id") != F.col("r_row_id")) & near).select(F.col("l_row_id").alias("a"), F.col("r_row_id").alias("b"))
 
 
-def geographic(df: DataFrame, eps_metres: float, min_points: int) -> DataFrame:
-    """``df`` (``row_id, lon, lat`` and more) with ``cluster_id``; noise is dropped."""
+def geographic(df: DataFrame, eps_metres: float, min_points: int, spheroid: bool = False) -> DataFrame:
+    """``df`` (``row_id, lon, lat`` and more) with ``cluster_id``; noise is dropped.
+
+    Distances are those on the sphere, or with ``spheroid`` on the WGS84 spheroid.
+    """
     places = df.select("row_id", "lon", "lat")
     top = F.least(F.max(F.abs("lat")), F.lit(89.0))
     widest = places.agg(top).first()[0] or 0.0
-    degrees = eps_metres / 1000.0 / KM_DEGREE
+    degrees = eps_metres / 1000.0 / (KM_DEGREE_SPHEROID if spheroid else KM_DEGREE)
     lon_step = F.lit(degrees) / F.cos(F.radians(F.lit(min(widest + degrees, 89.9))))
-    near = geo.haversine_km("l_lon", "l_lat", "r_lon", "r_lat") * 1000.0 <= eps_metres
+    ends = ("l_lon", "l_lat", "r_lon", "r_lat")
+    near = (geo.spheroid_metres(*ends) if spheroid else geo.haversine_km(*ends) * 1000.0) <= eps_metres
     pairs = _buckets(places, [], F.lit(degrees), lon_step, near, ["row_id", "lon", "lat"])
     return df.join(labelled(places, pairs, min_points), "row_id")
 

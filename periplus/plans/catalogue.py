@@ -101,6 +101,10 @@ def haversine_steps(spark, sf):
     return _lagged(_ais(spark, sf)).select("row_id", _r(geo.haversine_km("p_lon", "p_lat", "lon", "lat")).alias("km"))
 
 
+def spheroid_steps(spark, sf):
+    return _lagged(_ais(spark, sf)).select("row_id", _r(geo.spheroid_metres("p_lon", "p_lat", "lon", "lat"), 3).alias("metres"))
+
+
 def heading_diff(spark, sf):
     return _lagged(_ais(spark, sf)).select("row_id", geo.heading_difference("p_cog", "cog").alias("degrees"))
 
@@ -292,6 +296,10 @@ def dbscan_labels(spark, sf):
     return clustering.geographic(_stops(spark, sf), 2000.0, 3).select("row_id", "cluster_id")
 
 
+def dbscan_spheroid(spark, sf):
+    return clustering.geographic(_stops(spark, sf), 2000.0, 3, spheroid=True).select("row_id", "cluster_id")
+
+
 def waypoints(spark, sf):
     """Ports discovered from stops: clusters, with dense ids in the order of their names."""
     found = clustering.geographic(_stops(spark, sf), 2000.0, 3)
@@ -391,10 +399,10 @@ def box_accuracy(spark, sf):
 
 NAMES = (
     "ais_positions cell_assign grid_cells format_wkt parse_wkt polygon_area stopped_filter shiptype_filter first_per_cell_vessel unique_coords "
-    "haversine_steps heading_diff turning_points dead_reckoning to_cartesian to_geodetic euclidean bearing implied_speed similar_steps lagrange3 "
+    "haversine_steps spheroid_steps heading_diff turning_points dead_reckoning to_cartesian to_geodetic euclidean bearing implied_speed similar_steps lagrange3 "
     "pip_waypoint_lookup pip_semi pip_anti gap_flags voyage_positions voyage_segments voyage_summary voyages_stream interpolate interpolate_fill interpolate_180s interpolate_fill_180s "
     "cell_stats step_distance_stats cluster_stats_quadrant cluster_endpoints circular_stats vessel_voyage_counts key_counts balanced_partition "
-    "dbscan_labels waypoints waypoint_hulls traj_clusters route_clusters hull_features hull_rows itinerary_clusters convex_hull_vertices hull_bounds concave_hull "
+    "dbscan_labels dbscan_spheroid waypoints waypoint_hulls traj_clusters route_clusters hull_features hull_rows itinerary_clusters convex_hull_vertices hull_bounds concave_hull "
     "kfold_split kfold_rows hull_accuracy box_accuracy"
 ).split()
 

@@ -60,6 +60,17 @@ def km(a: str, b: str, c: str, d: str) -> str:
     return f"6371.0 * (2 * atan2(sqrt({h}), sqrt(1 - {h})))"
 
 
+def spheroid(a: str, b: str, c: str, d: str) -> str:
+    """Metres on the WGS84 spheroid (Lambert)."""
+    f = "(1 / 298.257223563::DOUBLE)"
+    u, v = (f"atan((1 - {f}) * tan(radians({x})))" for x in (b, d))
+    h = f"(pow(sin(({v} - {u}) / 2), 2) + cos({u}) * cos({v}) * pow(sin((radians({c}) - radians({a})) / 2), 2))"
+    g = f"(2 * atan2(sqrt({h}), sqrt(1 - {h})))"
+    x = f"({g} - sin({g})) * (pow(sin(({u} + {v}) / 2) * cos(({v} - {u}) / 2), 2) / (1 - {h}))"
+    y = f"({g} + sin({g})) * (pow(cos(({u} + {v}) / 2) * sin(({v} - {u}) / 2), 2) / nullif({h}, 0))"
+    return f"CASE WHEN {h} = 0 THEN 0.0::DOUBLE ELSE 6378137.0::DOUBLE * ({g} - {f} / 2 * ({x} + {y})) END"
+
+
 def turn(a: str, b: str) -> str:
     return f"CASE WHEN abs({a} - {b}) <= 180.0 THEN abs({a} - {b}) ELSE abs(360.0 - greatest({a}, {b}) + least({a}, {b})) END"
 
@@ -199,6 +210,7 @@ features AS (SELECT cluster_id, itinerary, cell_id, {spread('cog', 'heading')},
         "first_per_cell_vessel": ais + f"SELECT row_id, mmsi, cell_id FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, mmsi ORDER BY seconds, row_id) AS rn FROM (SELECT *, {fine('lon', 'lat')} AS cell_id FROM ais) WHERE cell_id IS NOT NULL) WHERE rn = 1",
         "unique_coords": voy + "SELECT row_id, voyage_id FROM (SELECT *, count(*) OVER (PARTITION BY voyage_id, lon, lat) AS c FROM voyages) WHERE c = 1",
         "haversine_steps": lagged + f"SELECT row_id, round({steps}, 6) + 0.0 AS km FROM lagged",
+        "spheroid_steps": lagged + f"SELECT row_id, round({spheroid('p_lon', 'p_lat', 'lon', 'lat')}, 3) + 0.0 AS metres FROM lagged",
         "heading_diff": lagged + f"SELECT row_id, {turn('p_cog', 'cog')} AS degrees FROM lagged",
         "turning_points": lagged + f"SELECT row_id, mmsi FROM lagged WHERE {turn('p_cog', 'cog')} >= 90",
         "dead_reckoning": _with(AIS, f"d AS (SELECT *, {dr_lat} AS dl FROM ais)") + f"SELECT row_id, CASE WHEN speed <> 0 THEN {dr_lon} ELSE lon END + 0.0 AS lon_600, CASE WHEN speed <> 0 THEN dl ELSE lat END + 0.0 AS lat_600 FROM d",
@@ -230,6 +242,7 @@ features AS (SELECT cluster_id, itinerary, cell_id, {spread('cog', 'heading')},
         "key_counts": "SELECT user_id AS mmsi, count(*) AS n FROM events GROUP BY user_id",
         "balanced_partition": "SELECT user_id AS mmsi, count(*) AS n, CAST(1 AS BIGINT) AS partitions FROM events GROUP BY user_id",
         "dbscan_labels": stop_labels + "SELECT row_id, cluster_id FROM labelled",
+        "dbscan_spheroid": _with(AIS, STOPS, labels("stops", f"{geo_near.replace('2000.0', '2100.0')} AND {spheroid('l.lon', 'l.lat', 'r.lon', 'r.lat')} <= 2000.0", 3), recursive=True) + "SELECT row_id, cluster_id FROM labelled",
         "waypoints": stop_labels + "SELECT row_number() OVER (ORDER BY cluster_id) - 1 AS id, cluster_id, count(*) AS members, round(min(lon), 6) + 0.0 AS west, round(max(lon), 6) + 0.0 AS east FROM labelled JOIN stops USING (row_id) GROUP BY cluster_id",
         "traj_clusters": traj + "SELECT row_id, itinerary, cell_id, cluster_id FROM labelled JOIN cells USING (row_id)",
         "route_clusters": more(labels("voyages", route_near, 5), recursive=True) + "SELECT row_id, cluster_id FROM labelled",

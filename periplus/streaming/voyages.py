@@ -34,10 +34,11 @@ def advance(state: tuple[int, int, int | None], row: tuple[int, int | None], gap
 class Voyages(StatefulProcessor):
     """Emits the positions at sea of each voyage when it is closed by an arrival from a known port."""
 
-    def __init__(self, gap: int = GAP_SECONDS, min_positions: int = MIN_POSITIONS):
-        self.gap, self.min_positions = gap, min_positions
+    def __init__(self, gap: int = GAP_SECONDS, min_positions: int = MIN_POSITIONS, idle: int | None = None):
+        self.gap, self.min_positions, self.idle = gap, min_positions, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.at = handle.getValueState("at", "last int, seq int, seconds long")
         self.open = handle.getListState("open", _OPEN)
 
@@ -59,19 +60,32 @@ class Voyages(StatefulProcessor):
                 held.append((int(r.row_id), int(r.seconds), r.lon, r.lat, r.cog, r.speed))
         self.at.update((last, seq, before))
         self.open.put(held) if held else self.open.clear()
+        if self.idle is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if held:
+                self.handle.registerTimer((before + self.idle) * 1000)
         if out:
             yield pd.DataFrame(out, columns=["mmsi", "voyage_id", "itinerary", "row_id", "seconds", "lon", "lat", "cog", "speed"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Flush: the open voyage of a vessel that has been silent for ``idle`` has no itinerary and goes."""
+        self.open.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def segment(stream: DataFrame, gap: int = GAP_SECONDS, min_positions: int = MIN_POSITIONS, late: str = "1 hour") -> DataFrame:
+def segment(stream: DataFrame, gap: int = GAP_SECONDS, min_positions: int = MIN_POSITIONS, late: str = "1 hour", idle: int | None = None) -> DataFrame:
     """Closed voyages of a stream of reports (``mmsi, row_id, seconds, lon, lat, cog, speed, port``).
 
     Rows later than ``late`` behind the newest are dropped; inside a batch rows are put in order. State per
-    vessel is its last port and the positions of the open voyage.
+    vessel is its last port and the positions of the open voyage. With ``idle``, the open positions of a vessel
+    silent for so many seconds of event time (behind the watermark) are flushed, so that vessels that never
+    arrive hold no growing state; should it arrive after all, only later positions are its voyage.
     """
     importable(stream.sparkSession)
     timed = stream.withColumn("event_time", F.timestamp_seconds("seconds")).withWatermark("event_time", late)
-    return timed.groupBy("mmsi").transformWithStateInPandas(Voyages(gap, min_positions), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+    mode = "none" if idle is None else "eventTime"
+    return timed.groupBy("mmsi").transformWithStateInPandas(Voyages(gap, min_positions, idle), outputStructType=OUTPUT, outputMode="append", timeMode=mode)

@@ -89,3 +89,33 @@ def test_degenerate_hulls():
     assert hulls.convex_ring([]) == []
     assert hulls.convex_ring([(1.0, 1.0)]) == [(1.0, 1.0)] * 2
     assert hulls.convex_ring([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]) == [(0.0, 0.0), (2.0, 2.0), (0.0, 0.0)]
+
+
+def vincenty(lon1, lat1, lon2, lat2):
+    """Metres on the WGS84 spheroid, by iteration."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b, d = a * (1 - f), math.radians(lon2 - lon1)
+    u, v = (math.atan((1 - f) * math.tan(math.radians(x))) for x in (lat1, lat2))
+    at = d
+    for _ in range(100):
+        s = math.hypot(math.cos(v) * math.sin(at), math.cos(u) * math.sin(v) - math.sin(u) * math.cos(v) * math.cos(at))
+        if s == 0:
+            return 0.0
+        c = math.sin(u) * math.sin(v) + math.cos(u) * math.cos(v) * math.cos(at)
+        angle, course = math.atan2(s, c), math.cos(u) * math.cos(v) * math.sin(at) / s
+        square = 1 - course**2
+        mid = c - 2 * math.sin(u) * math.sin(v) / square if square > 1e-15 else 0.0
+        k = f / 16 * square * (4 + f * (4 - 3 * square))
+        at = d + (1 - k) * f * course * (angle + k * s * (mid + k * c * (2 * mid**2 - 1)))
+    w = square * (a**2 - b**2) / b**2
+    big, small = 1 + w / 16384 * (4096 + w * (w * (320 - 175 * w) - 768)), w / 1024 * (256 + w * (w * (74 - 47 * w) - 128))
+    more = small * s * (mid + small / 4 * (c * (2 * mid**2 - 1) - small / 6 * mid * (4 * s**2 - 3) * (4 * mid**2 - 3)))
+    return b * big * (angle - more)
+
+
+def test_spheroid_against_iteration(spark):
+    places = [(x, y) for x in (-170.0, -8.0, 0.0, 0.01, 23.6) for y in (-60.0, 0.0, 30.0, 37.94, 37.95, 80.0)]
+    pairs = [(*p, *q) for p in places for q in places]
+    assert abs(vincenty(144.424867889, -37.951033417, 143.926495528, -37.652821139) - 54972.271) < 0.01
+    rows = spark.createDataFrame(pairs, "a double, b double, c double, d double").select("a", "b", "c", "d", geo.spheroid_metres("a", "b", "c", "d").alias("m")).collect()
+    assert len(rows) == 900 and all(abs(r["m"] - (x := vincenty(r["a"], r["b"], r["c"], r["d"]))) <= 1e-5 * x for r in rows)

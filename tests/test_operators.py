@@ -63,6 +63,39 @@ def test_stream_steps_follow_the_state_machine():
         assert out == machine(rows)
 
 
+def test_stream_flushes_silent_vessels(spark, tmp_path):
+    """Vessel 1 is silent while vessel 2 sails on; its open positions go, those after the flush are its voyage."""
+    from periplus.streaming import voyages as streamed
+
+    day = 86_400
+    def report(vessel, row, seconds, port=None):
+        return (vessel, row, seconds, 1.0, 31.0, 90.0, 10.0, port)
+
+    batches = [[report(1, 1, 0, 5), *[report(1, k, 60 * k) for k in (2, 3, 4)]], [report(2, 5, 40 * day)], [report(2, 6, 41 * day)], [report(1, 7, 42 * day, 6)]]
+    schema = "mmsi long, row_id long, seconds long, lon double, lat double, cog double, speed double, port int"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in-{k}"))
+    import glob
+    import os
+    import shutil
+
+    os.mkdir(tmp_path / "in")
+    for k in range(len(batches)):
+        shutil.copy(next(p for p in glob.glob(str(tmp_path / f"in-{k}" / "*.parquet"))), tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1000 + k, 1000 + k))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for idle, want in ((None, [2, 3, 4]), (30 * day, [])):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            out = str(tmp_path / f"out-{idle}")
+            q = streamed.segment(stream, gap=100 * day, idle=idle).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert sorted(r["row_id"] for r in spark.read.schema(streamed.OUTPUT).parquet(out).collect()) == want
+    finally:
+        spark.conf.unset(provider)
+
+
 def test_point_in_polygon_joins(spark):
     shapes = spark.createDataFrame([(2, "POLYGON ((0 30, 10 30, 10 40, 0 40, 0 30))"), (1, "POLYGON ((5 35, 6 35, 6 36, 5 36, 5 35))"), (3, "POLYGON ((-9 28, -7 28, -7 30, -9 30, -9 28))")], "id int, wkt string")
     shapes = shapes.select("id", polygons.parse_wkt(F.col("wkt")).alias("ring"))
