@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_cases import in_order
 
+from periplus.llm import common as C
 from periplus.llm import line_templates, simhash_trie, substring_dedup, suffix_dedup
 
 
@@ -32,6 +34,68 @@ def test_substring(request, source, block_bytes):
     assert got == want and any(v[1] for v in want.values())
 
 
+def brute_substring(texts):
+    """Words left of each text, in order."""
+    seen, out = set(), []
+    for text in texts:
+        ws = tuple(text.encode().split())
+        out.append(b" ".join(w for w, m in zip(ws, covered(ws, 20, seen)) if not m).decode())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_substring_parts(spark, seed):
+    """Passages that stand in overlapping parts, in the same block and in others, with few and many distinct words."""
+    r = random.Random(seed)
+    passage = [f"p{r.randrange(3 if seed % 2 else 999)}" for _ in range(160)]
+    texts = []
+    for k in range(40):
+        ws = [f"u{k}x{j}" for j in range(r.randrange(15))]
+        for _ in range(r.randrange(3)):
+            a = r.randrange(150)
+            ws += passage[a : a + r.randrange(10, 90)] + [f"v{k}"] * r.randrange(2)
+        texts.append(" ".join(ws))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block_bytes in (600, 4000, 6 << 20):
+        got = {x["doc_id"]: x["kept"] for x in substring_dedup.dedup_substrings(docs, block_bytes=block_bytes).collect()}
+        assert [got[k] for k in range(40)] == brute_substring(texts)
+
+
+def run_blocks(parts):
+    """The passes of op1 over blocks, in this process: what each block keeps of its texts."""
+    def block(n, docs):
+        return C.Block(n, [i for i, _ in docs], [len(t.encode()) for _, t in docs], C.squeeze("".join(t for _, t in docs).encode()), [])
+
+    def of(n):
+        return substring_dedup.Words(block(n, parts[n]), 20)
+
+    rows = [pa.RecordBatch.from_pylist([{"block": n, "doc_ids": [i for i, _ in d], "sizes": [len(t.encode()) for _, t in d], "body": C.squeeze("".join(t for _, t in d).encode()), "carry": [None] * len(d)}]) for n, d in enumerate(parts)]
+    replies = substring_dedup.resolve(pa.Table.from_batches(substring_dedup.announce(iter(rows), 1, 20))).to_pylist()
+    loans = [x for n in range(len(parts)) if (got := [(x["bucket"], x["codes"], x["wanted"], x["wanters"]) for x in replies if x["block"] == n]) for x in substring_dedup.lend(of(n), n, got, 1, 20)]
+    out = []
+    for n in range(len(parts)):
+        w = of(n)
+        codes = next((np.frombuffer(C.unsqueeze(d), np.uint8) for to, own, d in loans if to == n and own), None)
+        lent = [t for to, own, d in loans if to == n and not own for t in C.unsqueeze(d).split(b"\n")]
+        gone = substring_dedup.removed_words(w, codes, lent, 20)
+        out.append([b" ".join(x for x, m in zip(ws, gone[a:].tolist()) if not m).decode() for ws, a in zip(w.words, w.starts.tolist())])
+    return out
+
+
+def test_substring_words_decide(monkeypatch):
+    """The automata find what is removed, and equal hashes of unlike words remove nothing."""
+    words = [f"w{k}" for k in range(90)]
+    parts = [[(1, " ".join(words[:60]))], [(2, " ".join(words[10:40])), (3, " ".join(words[30:]))], [(4, "x " + " ".join(words[5:70]) + " y")]]
+    want = brute_substring([t for p in parts for _, t in p])
+    assert [t for p in run_blocks(parts) for t in p] == want and want[3] == "x y"
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "occurrences", lambda w, passages, window: np.zeros(len(w.ids), bool))
+        assert run_blocks(parts) == [[t for _, t in p] for p in parts]
+    unlike = [[(i, " ".join(f"a{i}b{k}" for k in range(30)))] for i in range(4)]
+    monkeypatch.setattr(C, "mix64", lambda h: h & np.uint64(0))
+    assert run_blocks(unlike) == [[t for _, t in p] for p in unlike]
+
+
 @pytest.mark.parametrize("source", ["unique", "many"])
 @pytest.mark.parametrize("block_bytes", [3000, 6 << 20])
 def test_suffix(request, source, block_bytes):
