@@ -46,6 +46,8 @@ TASK_ROWS = 8192
 SALT_ROWS = 1 << 20
 #: Node pairs are expanded to row pairs below this many rows on either side.
 LEAF = 8
+#: Node pairs that descend at once (at most ``LEAF ** 2`` row pairs each).
+FRONT = 5_000
 #: Of several fingerprints: leading bits at least, rows that share them on average, odds of an unlike pair in a
 #: table, and share of the pairs of the wanted similarity that some table links.
 LEAD = 8
@@ -118,8 +120,8 @@ class Forest:
 def trie_links(fps: np.ndarray, lead: int, budget: int) -> np.ndarray:
     """Labels of sorted distinct fingerprints whose first ``lead`` bits must agree.
 
-    The trie's nodes are ranges of the sorted array. The budget rises from 1, so that close rows are
-    linked first and ranges that are linked throughout leave the later traversals.
+    The trie's nodes are ranges of the sorted array. Rows that differ in one bit are linked first, so that
+    ranges of copies are linked throughout and leave the traversal within the whole budget.
     """
     n = len(fps)
     forest = Forest(n)
@@ -129,8 +131,8 @@ def trie_links(fps: np.ndarray, lead: int, budget: int) -> np.ndarray:
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(heads)) + 1, [n]])
     roots = np.stack([cuts[:-1], cuts[1:], cuts[:-1], cuts[1:], np.full(len(cuts) - 1, lead), np.zeros(len(cuts) - 1, np.int64)], 1).astype(np.int64)
     roots = roots[roots[:, 1] - roots[:, 0] > 1]
-    for most in range(1, budget + 1):
-        stack = [roots[k : k + 20_000] for k in range(0, len(roots), 20_000)]
+    for most in sorted({min(1, budget), budget}):
+        stack = [roots[k : k + FRONT] for k in range(0, len(roots), FRONT)]
         while stack:
             f = stack.pop()
             # Ranges in which all rows have one label: nothing left to link between two of the same.
@@ -151,8 +153,8 @@ def trie_links(fps: np.ndarray, lead: int, budget: int) -> np.ndarray:
             if not len(f):
                 continue
             children = split(fps, f)
-            for k in range(0, len(children), 20_000):
-                stack.append(children[k : k + 20_000])
+            for k in range(0, len(children), FRONT):
+                stack.append(children[k : k + FRONT])
     return forest.label
 
 
