@@ -180,6 +180,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, bl
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    C.importable(docs.sparkSession)
     return C.written(src.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "ids-manifest")
 
 
@@ -206,6 +207,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("path", before.cast("long").alias("start"))
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    C.importable(manifest.sparkSession)
     return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 

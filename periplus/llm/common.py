@@ -110,6 +110,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "
         if held:
             yield flush()
 
+    importable(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.to_json(F.struct(*[F.col(f"`{c}`") for c in others(docs, id_col, text_col)])) if carry and others(docs, id_col, text_col) else F.lit(None).cast("string")).alias("carry"))
     return written(src.mapInArrow(pack, BLOCK_SCHEMA), name)
 
