@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units, and bytes of them and their ids, that a worker keeps at most; past either the cache starts anew.
+#: Units, and bytes of them and their ids, that a worker keeps at most; past either only units that came again stay
+#: (none, where these alone are more than half).
 CACHE_UNITS = 300_000
 CACHE_BYTES = 48 << 20
-#: Texts, and bytes of them, that are encoded at once (one longer text goes alone).
-SLICE_ROWS = 1500
-SLICE_BYTES = 4 << 20
+#: Texts, and bytes of them, that are encoded at once (one longer text goes alone); few enough for the processor's cache.
+SLICE_ROWS = 400
+SLICE_BYTES = 1 << 20
 
 #: White space that is not ASCII's common four, by Unicode (fixed values).
 _RARE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -95,22 +96,44 @@ class UnitEncoder:
         self.units: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.data, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        #: Whether a unit came again in later texts.
+        self.again = np.zeros(1 << 14, bool)
         self.n, self.used, self.chars = 0, 0, 0
 
+    def _shrink(self) -> None:
+        """Keep the units that came again, as new ones; forget the others."""
+        kept = np.flatnonzero(self.again[: self.n])
+        number = np.full(self.n, -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        units, heads = ({u: at for u, k in known.items() if (at := int(number[k])) >= 0} for known in (self.units, self.heads))
+        size = self.size[kept]
+        ends = np.cumsum(size)
+        used, chars = int(size.sum()), sum(map(len, units)) + sum(map(len, heads))
+        if len(kept) > CACHE_UNITS // 2 or 4 * used + chars > CACHE_BYTES // 2:
+            return self._empty()
+        data = self.data[np.repeat(self.begin[kept] - ends + size, size) + np.arange(used)]
+        self._empty()
+        self._store(data, size)
+        self.units, self.heads, self.chars = units, heads, chars
+
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, known: dict[str, int], units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, used = self.n + len(units), self.used + len(ids)
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(sizes), self.used + len(ids)
         if n > len(self.size):
-            self.begin, self.size = (np.concatenate([a, np.zeros(max(n - len(a), len(a)), np.int64)]) for a in (self.begin, self.size))
+            self.begin, self.size, self.again = (np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)]) for a in (self.begin, self.size, self.again))
         if used > len(self.data):
             self.data = np.concatenate([self.data, np.zeros(max(used - len(self.data), len(self.data)), np.uint32)])
         self.data[self.used : used] = ids
         self.size[self.n : n] = sizes
         self.begin[self.n : n] = self.used + np.cumsum(sizes) - sizes
-        known.update(zip(units, range(self.n, n)))
-        self.n, self.used, self.chars = n, used, self.chars + len("".join(units))
+        self.n, self.used = n, used
+
+    def _keep(self, known: dict[str, int], units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known.update(zip(units, range(self.n, self.n + len(units))))
+        self._store(ids, sizes)
+        self.chars += len("".join(units))
 
     def _learn(self, known: dict[str, int], units: list[str], lead: str) -> None:
         """Encode units, with the space before each if ``lead`` is one.
@@ -143,7 +166,8 @@ class UnitEncoder:
             ids = self._raw(texts)
             return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, ids)], dtype=np.int64)
         if self.n > CACHE_UNITS or 4 * self.used + self.chars > CACHE_BYTES:
-            self._empty()
+            self._shrink()
+        before = self.n
         parts = [t.split(" ") if _plain(t) else _CUT.split(t) for t in texts]
         heads = [p[0] for p in parts]
         bounds = np.cumsum([0, *map(len, parts)], dtype=np.int64)
@@ -161,6 +185,7 @@ class UnitEncoder:
             self._learn(self.heads, new, "")
         unit = np.array(known, np.int64)
         unit[bounds[:-1]] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
+        self.again[unit[unit < before]] = True
         sizes = self.size[unit]
         ends = np.cumsum(sizes)
         ids = self.data[np.repeat(self.begin[unit] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]

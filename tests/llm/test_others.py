@@ -228,3 +228,18 @@ def test_pipeline_decisions(spark, small):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
     one = corpus_pipeline.near_duplicates(spark, kept, small)
     assert sorted(r["doc_id"] for r in one.collect()) == [1, 3]
+
+
+def test_units_that_come_again_outlast_the_cache(monkeypatch):
+    """A full cache forgets the units that came once; the ids stay those of whole texts."""
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 200)
+    enc, learned = tokens.UnitEncoder(tokens.default_path()), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda known, units, lead: (learned.extend(units), learn(known, units, lead)))
+    for k in range(20):
+        text = "The ship and the sea, " + " ".join(f"w{k}x{j}" for j in range(60))
+        ids, bounds = enc.flat([text, text[4:]])
+        assert ids[: bounds[1]].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+        assert ids[bounds[1] :].tolist() == enc.tok.encode(text[4:], add_special_tokens=False).ids
+    assert learned.count("ship") == 2  # behind a space, and as the head of a text
+    assert "w0x1" not in enc.units and enc.n < 500
