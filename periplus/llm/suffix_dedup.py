@@ -40,8 +40,8 @@ from .substring_dedup import Words
 LENGTH = 100
 GRAM = 32
 BATCH_BYTES = 1_500_000
-#: Window starts that are hashed at once.
-SEGMENT = 1 << 22
+#: Window starts that are hashed at once: their arrays (8 bytes each) stay in the processor's cache.
+SEGMENT = 1 << 17
 
 ANCHORS = "bucket long, block long, n long, hashes binary"
 CONTEXTS = "bucket long, block long, runs binary, hashes binary, docs binary, starts binary, sizes binary, body binary"
@@ -64,14 +64,18 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
         pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
     values, names = np.unique(pair[sample] * top + t[sample + 2], return_inverse=True)
     names = names.astype(np.int64) + 1
-    order = np.argsort(names, kind="stable") if len(values) == len(sample) else difference_cover(names)
+    if len(values) == len(sample):
+        order = np.empty(len(sample), np.int64)
+        order[names - 1] = np.arange(len(sample))
+    else:
+        order = difference_cover(names)
     sorted_sample = sample[order]
     rank = np.zeros(n + 3, np.int64)
     rank[sorted_sample] = np.arange(1, len(sample) + 1)
     sorted_sample = sorted_sample[sorted_sample < n]
     m0 = np.arange(0, n, 3)
     width = np.int64(len(sample) + 2)
-    m0 = m0[np.argsort(t[m0] * width + rank[m0 + 1], kind="stable")]
+    m0 = m0[np.argsort(t[m0] * width + rank[m0 + 1])]
     # Merge: against places of residue 1 by (letter, rank), against residue 2 by (two letters, rank).
     residue = sorted_sample % 3
     ones, twos = sorted_sample[residue == 1], sorted_sample[residue == 2]

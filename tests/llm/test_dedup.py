@@ -259,3 +259,20 @@ def test_repeated_rows_and_empty_tables(docs, nothing):
     assert simhash_trie.near_duplicates(docs).count() == 17
     for f in (substring_dedup.dedup_substrings, suffix_dedup.dedup_bytes, simhash_trie.near_duplicates):
         assert f(nothing).count() == 0
+
+
+def test_contexts_in_segments_that_fit_the_cache(monkeypatch):
+    """Any segments give the same strings the same keys; those in use take a megabyte an array at most."""
+    r = np.random.default_rng(4)
+    texts = [bytes(r.integers(97, 100, int(n), np.uint8)) for n in r.integers(0, 3000, 40)]
+    texts += [texts[3][500:900] + texts[5], texts[5]]
+    block = C.Block(0, list(range(len(texts))), [len(t) for t in texts], C.squeeze(b"".join(texts)), [])
+
+    def keys():
+        c = suffix_dedup.Contexts(block, 100, 32)
+        return {k: h for a, b, h in zip(c.low.tolist(), c.high.tolist(), c.hash.tolist()) for k in range(a, b + 1)}
+
+    assert 8 * suffix_dedup.SEGMENT <= 1 << 20
+    whole = keys()
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 333)
+    assert keys() == whole and len(whole) > 10_000
