@@ -249,7 +249,7 @@ def test_similar_reports_against_brute_force(spark):
     from periplus.functions import geo
 
     r = random.Random(5)
-    rows = [(k, r.choice(["a", "b"]), (179.7 + r.random() * 0.6 + 180) % 360 - 180, 40 + r.random() * 0.1, r.randrange(80) / 10, float(r.randrange(0, 360, 5))) for k in range(1500)]
+    rows = [(k, r.choice(["a", "b"]), (179.9 + r.random() * 0.2 + 180) % 360 - 180, 40 + r.random() * 0.06, r.randrange(80) / 10, float(r.randrange(0, 360, 5))) for k in range(1500)]
     rows += [(1500, "a", None, 40.0, 1.0, 1.0), (1501, "b", 179.9, 40.0, float("nan"), 1.0), (1502, None, 179.9, 40.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "row_id long, itinerary string, lon double, lat double, speed double, cog double").repartition(3)
 
