@@ -21,6 +21,29 @@ def test_units_give_the_ids_of_whole_texts():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == plain_ids(texts) * 2
 
 
+def test_units_of_letters_and_marks():
+    draw = np.random.default_rng(6)
+    parts = ["a", "be", "The", "é", "ñandú", "ß", "ǆ", "中", "я", "ª", "ʰ", "7", "½", ".", ",", "'", "'s", "'ll", "$$", "<|endoftext|>", "|>", "_", "×", "\n", "\n", "\n\n", " ", " ", " ", " ", "  ", "\t", "\r\n", "\x00", "\x0b", "\x85", "　", "\U0001f600"]
+    texts = ["".join(draw.choice(parts, n)) for n in draw.integers(0, 60, 4000)]
+    # Many texts with neither rare white space nor pairs of it, together and beside others.
+    texts += ["".join(draw.choice(parts[:30], n)).replace("\n\n", "\n") for n in draw.integers(0, 60, 2000)] + [" ".join(draw.choice(parts[:22], n)) for n in draw.integers(0, 60, 1000)]
+    enc, want = tokens.UnitEncoder(tokens.default_path()), plain_ids(texts)
+    for k in (1, 7, 1000):
+        got = [g for low in range(0, len(texts), k) for g in enc.encode(texts[low : low + k])]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+    assert enc.flat([])[0].tolist() == [] and enc.flat([])[1].tolist() == [0]
+
+
+def test_new_words_go_to_the_model_without_their_marks(monkeypatch):
+    letters = [a + b + c for a in "abcdefghij" for b in ("éta", "ino", "sul") for c in "klmnopqrst"]
+    text = " ".join(letters) + "." + "".join(f"\n{w.title()} {w}, {w}. {w}$$$" for w in letters)
+    enc, read = tokens.UnitEncoder(tokens.default_path()), []
+    monkeypatch.setattr(enc, "_raw", lambda texts, raw=enc._raw: read.extend(texts) or raw(texts))
+    got = [np.frombuffer(g, "<u4").tolist() for g in enc.encode([text])]
+    assert got == plain_ids([text])
+    assert len("".join(read)) < 50  # of 10,000: the head, and each run of marks
+
+
 def test_packing(docs, nothing, many):
     for df in (docs, many):
         rows = df.select("doc_id", "text").collect()
