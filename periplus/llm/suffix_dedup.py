@@ -17,8 +17,9 @@ packed blocks:
 3. The answers, a flag per string, are cogrouped with the blocks, which cut the bytes that are covered.
 
 A pass sends a key once per block, so copies in any number cost a row per block. A bucket's contexts
-are sorted in batches of at most ``BATCH_BYTES`` that never part a key: an anchor that is common in many
-surroundings is cut by them. Comparison is exact: hashes only choose who meets.
+are sorted in batches of ``BATCH_BYTES`` or little more that never part a key: an anchor that is common in many
+surroundings is cut by them, and a key that has more than a batch of contexts is cut again by longer keys
+(``later_by_longer_keys``). Comparison is exact: hashes only choose who meets.
 
 Edge cases: a null text is empty; texts shorter than ``length`` are kept whole; a null ``doc_id`` sorts first;
 rows that share a ``doc_id`` count as different documents, in the order of the blocks; other columns
@@ -234,7 +235,83 @@ def later_strings(texts: list[bytes], docs: np.ndarray, places: np.ndarray, star
     return np.split(flags, np.cumsum(counts)[:-1])
 
 
-def resolve_contexts(group: pa.Table, length: int) -> pa.Table:
+def anchors_in(texts: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Where the anchor of each context stands: the first gram of smallest hash in what its strings share."""
+    letters = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    h, at, out = C.mix64(Words.roll(letters, gram)) >> np.uint64(26), 0, np.empty(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        shared = len(t) - length
+        out[k] = shared + h[at + shared : at + length - gram + 1].argmin()
+        at += len(t)
+    return out
+
+
+def later_by_longer_keys(texts: list[bytes], docs: np.ndarray, places: np.ndarray, starts: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    """As ``later_strings``, for contexts too large for one suffix array, in batches of at most ``BATCH_BYTES``.
+
+    A key that lies in every string of its contexts is the anchor with some bytes on both sides. Of the bytes that
+    a string has beside it, half lie on one side: with that half the key is longer, and cuts a context in two
+    pieces. Equal strings have equal longer keys, and equal pieces count once. Keys grow until their pieces
+    fit a batch; a key of ``length`` bytes has one distinct piece.
+    """
+    flags = [np.zeros(len(t) - length + 1, bool) for t in texts]
+    low = 0
+    anchors = np.empty(len(texts), np.int64)
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and size < BATCH_BYTES:
+            size += len(texts[high])
+            high += 1
+        anchors[low:high] = anchors_in(texts[low:high], length, gram)
+        low = high
+    anchor, order = anchors.tolist(), list(zip(docs.tolist(), places.tolist(), starts.tolist()))
+
+    def sort(batch: list[tuple[int, int, int]]) -> None:
+        own, first = np.array([k for k, _, _ in batch]), np.array([a for _, a, _ in batch])
+        found = later_strings([texts[k][a : b + length] for k, a, b in batch], docs[own], places[own], starts[own] + first, length)
+        for (k, a, b), later in zip(batch, found):
+            flags[k][a : b + 1] |= later
+
+    # Bytes of the key before and after the anchor; pieces that have it: context, first and last string.
+    todo: list[tuple[int, int, list[tuple[int, int, int]]]] = [(0, 0, [(k, 0, len(f) - 1) for k, f in enumerate(flags)])]
+    batch: list[tuple[int, int, int]] = []
+    filled = 0
+    while todo:
+        before, after, pieces = todo.pop()
+        beside = length - gram - before - after
+        left = (beside + 1) // 2
+        right = beside - left + 1
+        groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        for k, a, b in pieces:
+            t, begin, end = texts[k], anchor[k] - before, anchor[k] + gram + after
+            cut = begin - left
+            if a <= cut:
+                groups.setdefault((0, t[cut:end]), []).append((k, a, min(b, cut)))
+            if b > cut:
+                groups.setdefault((1, t[begin : end + right]), []).append((k, max(a, cut + 1), b))
+        for (side, _), group in groups.items():
+            first: dict[bytes, tuple[int, int, int]] = {}
+            for piece in sorted(group, key=lambda x: (*order[x[0]][:2], order[x[0]][2] + x[1])):
+                k, a, b = piece
+                if first.setdefault(texts[k][a : b + length], piece) is not piece:
+                    flags[k][a : b + 1] = True
+            size = sum(map(len, first))
+            if len(first) == 1:
+                continue
+            if size > BATCH_BYTES:
+                todo.append((before, after + right, list(first.values())) if side else (before + left, after, list(first.values())))
+                continue
+            if filled + size > BATCH_BYTES:
+                sort(batch)
+                batch, filled = [], 0
+            batch += first.values()
+            filled += size
+    if batch:
+        sort(batch)
+    return flags
+
+
+def resolve_contexts(group: pa.Table, length: int, gram: int = GRAM) -> pa.Table:
     """A bucket of contexts: flags of later strings, for each block's runs."""
     bucket = group.column("bucket")[0].as_py()
     entries: dict[bytes, list[tuple]] = {}
@@ -261,7 +338,8 @@ def resolve_contexts(group: pa.Table, length: int) -> pa.Table:
         part = texts[low:high]
         first = [min(entries[t]) for t in part]
         keys = [np.array([f[j] for f in first], np.int64) for j in range(3)]
-        for t, f, flags in zip(part, first, later_strings(part, *keys, length)):
+        later = later_strings(part, *keys, length) if size <= 2 * BATCH_BYTES else later_by_longer_keys(part, *keys, length, gram)
+        for t, f, flags in zip(part, first, later):
             for e in entries[t]:
                 mine = flags if e == f else np.ones(len(flags), bool)
                 if mine.any():
@@ -350,7 +428,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_b
 
     anchors = blocks.mapInArrow(announce, ANCHORS).groupBy("bucket").applyInArrow(resolve_anchors, REPLY)
     contexts = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send, CONTEXTS)
-    replies = contexts.groupBy("bucket").applyInArrow(lambda g: resolve_contexts(g, length), REPLY)
+    replies = contexts.groupBy("bucket").applyInArrow(lambda g: resolve_contexts(g, length, gram), REPLY)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -276,3 +276,29 @@ def test_contexts_in_segments_that_fit_the_cache(monkeypatch):
     whole = keys()
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 333)
     assert keys() == whole and len(whole) > 10_000
+
+
+@pytest.mark.parametrize("length, gram", [(100, 32), (40, 8)])
+def test_contexts_of_a_common_key_in_bounded_suffix_arrays(monkeypatch, length, gram):
+    """A key in many surroundings, some equal for a few bytes and more: no array exceeds its bound, and no string is lost."""
+    r, sizes, real = random.Random(8), [], suffix_dedup.later_strings
+    letters = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    passage = letters(length * 7 // 10)
+    near = [letters(r.randint(1, length // 3)) for _ in range(8)]
+    texts = [letters(r.randint(0, 60)) + r.choice(near) + passage + r.choice(near) + letters(r.randint(0, 60)) for _ in range(400)]
+    texts += [texts[3], b"x" + texts[5] + texts[5], b"", passage, b"a" * 700]
+    r.shuffle(texts)
+    seen = set()
+    want = [covered(t, length, seen) for t in texts]
+    blocks = [C.Block(k, list(range(k, len(texts), 2)), [len(t) for t in texts[k::2]], C.squeeze(b"".join(texts[k::2])), []) for k in range(2)]
+    contexts, rows = [suffix_dedup.Contexts(b, length, gram) for b in blocks], []
+    for b, c in zip(blocks, contexts):
+        runs, _ = c.first_runs(np.arange(len(c.low)))
+        rows.append({"bucket": 0, "block": b.block, "runs": C.squeeze(runs.tobytes()), "hashes": C.squeeze_planes(c.hash[runs]), "docs": C.squeeze_planes(b.order[c.doc[runs]]), "starts": C.squeeze_planes(c.low[runs]), "sizes": C.squeeze_planes(c.high[runs] - c.low[runs] + length), "body": C.squeeze(b"".join(c.text(k) for k in runs))})
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "later_strings", lambda texts, *a: sizes.append(sum(map(len, texts))) or real(texts, *a))
+    replies = suffix_dedup.resolve_contexts(pa.Table.from_pylist(rows), length, gram).to_pylist()
+    for b, c in zip(blocks, contexts):
+        gone = suffix_dedup.covered(c, [x["data"] for x in replies if x["block"] == b.block])
+        assert [gone[a:e].tolist() for a, e in zip(c.starts[:-1], c.starts[1:])] == want[b.block :: 2]
+    assert max(sizes) <= 2 * suffix_dedup.BATCH_BYTES and any(map(any, want))
